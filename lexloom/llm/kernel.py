@@ -154,3 +154,33 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if cps.dtype == np.uint8:
         return data, np.arange(len(data) + 1), cps
     return data, np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)), cps
+
+
+def _fold_table() -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint8)
+    for c in range(1 << 16):
+        if 0xD800 <= c < 0xE000:
+            continue
+        low = chr(c).lower()
+        if len(low) == 1 and ("a" <= low <= "z" or "0" <= low <= "9"):
+            out[c] = ord(low)
+    return out
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def ascii_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a-z and 0-9 in the lower-cased texts: (folded characters, starts, ends, hashes, first word of each text and the end)."""
+    if "fold" not in _tables:
+        _tables["fold"] = _fold_table()
+    cps, starts = code_points(col)
+    if cps.dtype != np.uint8 and (cps == 0x130).any():  # its lower case is two characters
+        cps, starts = code_points(pa.array([t.lower() for t in as_array(col).to_pylist()], pa.large_string()))
+    if cps.dtype == np.uint8:
+        low = _tables["fold"][cps]
+    else:
+        low = np.where(cps < 1 << 16, _tables["fold"][np.minimum(cps, 0xFFFF)], 0)
+    s, e = runs((low > 0).astype(np.uint8), starts)
+    h = span_hash(prefix(low), s, e)
+    return low, s, e, h, np.searchsorted(s, starts)

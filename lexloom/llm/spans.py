@@ -3,7 +3,8 @@
 Paragraphs here are all stretches of `SPAN` characters, each the set of its grams of `GRAM` characters.
 A stretch that two texts share letter for letter has the same least gram hash in both, so one MinHash
 band per stretch (the extreme of the banding curve: recall 1) makes every sharing pair collide. Colliding
-texts are joined, their shared spans are verified character by character and extended to full length,
+texts are joined (a band that many texts share is first refined to whole stretches, so that boilerplate
+shorter than a stretch brings no candidates), their shared spans are verified character by character and extended to full length,
 and the removals are clustered by connected components.
 """
 
@@ -21,6 +22,7 @@ from lexloom.llm.components import components, cut
 
 SPAN = 200
 GRAM = 100
+CROWD = 64  # texts that may share a band key before it is refined to whole stretches
 
 
 def band_keys(col: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +44,37 @@ def band_keys(col: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def refined_keys(text: str, crowded: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Hashes of the whole stretches of a text whose least gram has one of the crowded keys."""
+    cps, _ = K.code_points(pa.array([text], pa.large_string()))
+    if len(cps) < span:
+        return np.zeros(0, np.uint64)
+    p = K.prefix(cps)
+    at = np.arange(len(cps) - gram + 1)
+    m = K.sliding_min(K.span_hash(p, at, at + gram), span - gram + 1)
+    s = np.flatnonzero(np.isin(m, crowded))
+    return np.unique(K.span_hash(p, s, s + span))
+
+
+def _refined(texts: DataFrame, crowded: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, th, ih) where texts in crowded bands meet only in whole stretches that they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for th, ih, text, keys in zip(*(batch.column(c).to_pylist() for c in ("th", "ih", "text", "keys"))):
+                k = refined_keys(text, np.array(keys, np.int64).view(np.uint64), span, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), th)), pa.array(np.full(len(k), ih))], ["key", "th", "ih"])
+
+    rows = texts.join(crowded, "th").groupBy("th", "ih").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
+    return rows.select("th", "ih", "text", "keys").mapInArrow(run, "key long, th long, ih long")
+
+
+def _shared_only(keys: DataFrame) -> DataFrame:
+    """The distinct rows of keys that texts of different ids hold; the keys are computed twice, not stored."""
+    several = keys.groupBy("key").agg(F.min("ih").alias("lo"), F.max("ih").alias("hi")).where("lo < hi").select("key")
+    return cut(keys.join(several, "key", "left_semi").distinct())
+
+
 def _keys(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """(key, th, ih) of each distinct (text hash, id hash) of a batch and band key of its text."""
 
@@ -103,10 +136,13 @@ def shared_spans(records: DataFrame, fields: tuple[str, ...] = ("src", "rew"), s
     cols = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
     base = records.where("id is not null and row_id is not null").select("row_id", F.col("id").cast("string").alias("id"), F.explode(F.array(*cols)).alias("x")).select("row_id", "id", "x.field", "x.text")
     base = base.where(F.length("text") >= span).withColumns({"th": F.xxhash64("text"), "ih": F.xxhash64("id")})
-    keys = cut(_keys(base.select("th", "ih", "text"), span, gram).distinct())
-    hot = keys.groupBy("key").agg(F.min("ih").alias("lo"), F.max("ih").alias("hi")).where("lo < hi").select("key")
-    keys = cut(keys.join(hot, "key", "left_semi"))
+    rows = base.select("th", "ih", "text")
+    keys = _shared_only(_keys(rows, span, gram))
+    counted = keys.select("key", "th").distinct().groupBy("key").count().where(F.col("count") > CROWD).select("key")
+    crowded = cut(keys.join(counted, "key", "left_semi").groupBy("th").agg(F.collect_set("key").alias("keys")))
     many = keys.groupBy("th").agg(F.min("ih").alias("lo"), F.max("ih").alias("hi"))
+    if not crowded.isEmpty():
+        keys = keys.join(counted, "key", "left_anti").unionByName(_shared_only(_refined(rows, crowded, span, gram)))
     a = keys.select("key", F.col("th").alias("ta"), F.col("ih").alias("ia"))
     b = keys.select("key", F.col("th").alias("tb"), F.col("ih").alias("ib"))
     cand = cut(a.join(b, "key").where("ta < tb and ia <> ib").select("ta", "tb").distinct())

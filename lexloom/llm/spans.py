@@ -21,7 +21,7 @@ from lexloom.llm import kernel as K
 from lexloom.llm.components import components, cut
 
 SPAN = 200
-GRAM = 100
+GRAM = 120
 CROWD = 64  # texts that may share a band key before it is refined to whole stretches
 
 
@@ -36,9 +36,10 @@ def band_keys(col: pa.Array, span: int, gram: int) -> tuple[np.ndarray, np.ndarr
         at = np.arange(n)
         h = K.span_hash(K.prefix(cps), at, at + gram)
         own = np.repeat(np.arange(b - a), np.diff(starts))[:n]
-        h[at + gram > starts[own + 1]] = K.MAX  # grams must not cross into the next text
         m = K.sliding_min(h, span - gram + 1)
-        new = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (own[1 : len(m)] != own[: len(m) - 1]))[: len(m)] & (m != K.MAX))
+        own = own[: len(m)]
+        within = at[: len(m)] + span <= starts[own + 1]  # stretches must not cross into the next text
+        new = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (own[1:] != own[:-1]) | ~within[:-1])[: len(m)] & within)
         rows.append(own[new] + a)
         keys.append(m[new])
     return np.concatenate(rows), np.concatenate(keys)

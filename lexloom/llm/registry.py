@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage", "spans", "residue", "consensus", "responses")
+MODULES = ("tokenizer", "leakage", "spans", "residue", "consensus", "responses", "reading")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage", "spans", "residue", "consensus", "responses", "reading", "toxicity")
+MODULES = ("tokenizer", "leakage", "spans", "residue", "consensus", "responses", "reading", "toxicity", "packing")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("texts",)
+
 QUERIES: dict = {}
 SQL: dict = {}
+for _name in MODULES:
+    _module = import_module(f"lexloom.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL

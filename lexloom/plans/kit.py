@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom import config as C
@@ -41,7 +41,10 @@ def with_terms(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.crossJoin(F.broadcast(term_arrays(spark, sf_dir)))  # one row
 
 
-PURE = F.coalesce(F.col("pure_commentary"), F.coalesce(F.col("rew"), F.lit("")) == "")
+def pure() -> Column:
+    """A row that holds remarks only: its flag if it has one, else an empty rewrite."""
+    return F.coalesce(F.col("pure_commentary"), F.coalesce(F.col("rew"), F.lit("")) == "")
+
 
 # ---- SQL snippets ----
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "relations")
+MODULES = ("texts", "relations", "retrieve")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "relations", "retrieve")
+MODULES = ("texts", "relations", "retrieve", "reports")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -14,26 +14,26 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, plain_rows
     Values are counted first, so that repeated ones are ranked once. Few counted rows take a window by group; many
     are parted by range, and sums of the parts before shift the ranks, so that a group may hold any share of the rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
     if counts.count() <= plain_rows:
         w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counts.withColumn("_below", F.sum("_n").over(w) - F.col("_n"))
+        ranked = counts.withColumn("__below", F.sum("__n").over(w) - F.col("__n"))
     else:
-        parts = cut(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
-        w = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = parts.groupBy("_part", *by).agg(F.sum("_n").alias("_s"))
-        shift = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sums = sums.select("_part", *by, shift.alias("_shift"))  # about one row a part and group
-        inside = parts.withColumn("_below", F.sum("_n").over(w) - F.col("_n"))
-        same = inside["_part"] == sums["_part"]
+        parts = cut(counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()))
+        w = Window.partitionBy("__part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = parts.groupBy("__part", *by).agg(F.sum("__n").alias("__s"))
+        shift = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.select("__part", *by, shift.alias("__shift"))  # about one row a part and group
+        inside = parts.withColumn("__below", F.sum("__n").over(w) - F.col("__n"))
+        same = inside["__part"] == sums["__part"]
         for b in by:
             same = same & inside[b].eqNullSafe(sums[b])
-        ranked = inside.join(sums, same).select(*[inside[b] for b in by], inside[value], inside["_n"], (F.col("_below") + F.col("_shift")).alias("_below"))
-    ranked = ranked.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col(value).alias("_v"), (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    on = F.col(value) == F.col("_v")
+        ranked = inside.join(sums, same).select(*[inside[b] for b in by], inside[value], inside["__n"], (F.col("__below") + F.col("__shift")).alias("__below"))
+    ranked = ranked.select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)], F.col(value).alias("__v"), (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
+    on = F.col(value) == F.col("__v")
     for i, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(ranked, on, "left").drop("_v", *[f"_k{i}" for i in range(len(by))])
+        on = on & F.col(b).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranked, on, "left").drop("__v", *[f"__k{i}" for i in range(len(by))])
 
 
 def correlation(x: str, y: str) -> Column:
@@ -54,6 +54,6 @@ def bh(df: DataFrame, by: list[str], p: str, name: str = "q") -> DataFrame:
     floored = F.greatest(F.lit(1e-300), F.col(p))
     n = F.count(p).over(Window.partitionBy(*by))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(p)))
-    df = df.withColumn("_q", floored * n / rank)
-    step = F.min("_q").over(Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(name, step).drop("_q")
+    df = df.withColumn("_r", rank).withColumn("_q", floored * n / F.col("_r"))
+    step = F.min("_q").over(Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn(name, step).drop("_q", "_r")

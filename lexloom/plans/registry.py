@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "relations", "retrieve", "reports", "statistics", "reliable")
+MODULES = ("texts", "relations", "retrieve", "reports", "statistics", "reliable", "events")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -168,14 +168,14 @@ Q_LENS = "hm as (select item_id, system, avg(difficulty) as human from u group b
 
 
 def three_lens_join(spark: SparkSession, d: str) -> DataFrame:
-    return three_lens(spark, d).where("system <> 'base'").select("item_id", "system", F.round("human", 6).alias("human"), "judge", "tot", "fre")
+    return three_lens(spark, d).where("system <> 'base'").select("item_id", "system", F.round("human", 9).alias("human"), "judge", "tot", "fre")
 
 
 def pollution_delta(spark: SparkSession, d: str) -> DataFrame:
     """What counting remarks as failures takes from each system's mean."""
     s = K.scored(spark, d, "rew", "tot", "pure_commentary").where("tot is not null")
     honest = F.when(K.pure(), 0.0).otherwise(F.col("tot"))
-    return s.groupBy("tag").agg(F.count("*").alias("n"), F.sum(K.pure().cast("long")).alias("n_pure"), F.round(F.avg("tot"), 6).alias("raw"), F.round(F.avg(honest), 6).alias("honest"), F.round(F.avg(F.col("tot") - honest), 6).alias("delta"))
+    return s.groupBy("tag").agg(F.count("*").alias("n"), F.sum(K.pure().cast("long")).alias("n_pure"), F.round(F.avg("tot"), 9).alias("raw"), F.round(F.avg(honest), 9).alias("honest"), F.round(F.avg(F.col("tot") - honest), 9).alias("delta"))
 
 
 def best_attempt(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +189,7 @@ def best_attempt(spark: SparkSession, d: str) -> DataFrame:
 def group_advantage(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("id", "lv")
     s = K.scored(spark, d, "tot").where("tot is not null")
-    return s.select("tag", "id", "lv", F.round((F.col("tot") - F.avg("tot").over(w)) / (F.coalesce(F.stddev_samp("tot").over(w), F.lit(0.0)) + 1e-6), 6).alias("advantage"))
+    return s.select("tag", "id", "lv", F.round((F.col("tot") - F.avg("tot").over(w)) / (F.coalesce(F.stddev_samp("tot").over(w), F.lit(0.0)) + 1e-6), 9).alias("advantage"))
 
 
 def system_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -265,10 +265,10 @@ SQL = {
     "backfill": "select judge_id, coalesce(length(nullif(src, '')), 0)::int as src_chars, sec from judged left join (select row_id, src, sec from scored) using (row_id)",
     "unblind": f"{_U} select rater, item_id, label, system from u",
     "rater_matrix": f"{_U}, {Q_LONG}, {Q_MATRIX} select * from mx",
-    "three_lens_join": f"{_U}, {Q_JUDGED}, {Q_LENS} select item_id, system, round(human, 6) as human, judge, tot, fre from tl where system <> 'base'",
-    "pollution_delta": f"{_S}, h as (select tag, tot, {K.Q_PURE} as p, case when {K.Q_PURE} then 0 else tot end as honest from s where tot is not null) select tag, count(*) as n, count(*) filter (p) as n_pure, round(avg(tot), 6) as raw, round(avg(honest), 6) as honest, round(avg(tot - honest), 6) as delta from h group by tag",
+    "three_lens_join": f"{_U}, {Q_JUDGED}, {Q_LENS} select item_id, system, round(human, 9) as human, judge, tot, fre from tl where system <> 'base'",
+    "pollution_delta": f"{_S}, h as (select tag, tot, {K.Q_PURE} as p, case when {K.Q_PURE} then 0 else tot end as honest from s where tot is not null) select tag, count(*) as n, count(*) filter (p) as n_pure, round(avg(tot), 9) as raw, round(avg(honest), 9) as honest, round(avg(tot - honest), 9) as delta from h group by tag",
     "best_attempt": f"{_S}, a as (select tag, id, lv, tot, row_number() over (partition by id, lv order by tag)::int as attempt, tot >= 0.8 as passed from s where tot is not null), f as (select *, min(case when passed then attempt end) over (partition by id, lv) as f from a), t as (select *, count(*) over (partition by id, lv) as tried, row_number() over (partition by id, lv order by tot desc, attempt) as k from f where attempt <= 5 and (f is null or attempt <= f)) select id, lv, tag, attempt, tot, passed, tried from t where k = 1",
-    "group_advantage": f"{_S} select tag, id, lv, round((tot - avg(tot) over w) / (coalesce(stddev_samp(tot) over w, 0) + 1e-6), 6) as advantage from s where tot is not null window w as (partition by id, lv)",
+    "group_advantage": f"{_S} select tag, id, lv, round((tot - avg(tot) over w) / (coalesce(stddev_samp(tot) over w, 0) + 1e-6), 9) as advantage from s where tot is not null window w as (partition by id, lv)",
     "system_rank": f"{_U}, m as (select system, round(avg(overall), 9) as mean, count(overall) as n from u group by 1) select system, mean, n, rank() over (order by mean desc)::int as rank from m",
     "rank_with_coverage": f"with {Q_JUDGED}, m as (select lv, system, round(avg(judge.difficulty), 9) as mean, count(*) as n from jg group by all) select lv, system, mean, n, case when min(n) over (partition by lv) >= 20 then rank() over (partition by lv order by mean desc)::int end as rank from m",
     "blind_labels": "select rater, item_id, system, substr('ABCDEF', (row_number() over (partition by rater, item_id order by md5('42|' || rater || '|' || item_id || '|' || system)))::int, 1) as label from (select distinct rater, item_id, system from blind_key where system is not null)",

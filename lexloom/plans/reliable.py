@@ -12,7 +12,7 @@ from lexloom.operators import tests_stat as S
 from lexloom.plans import kit as K
 from lexloom.plans import relations as REL
 from lexloom.plans.reports import _long
-from lexloom.plans.statistics import _LENS, _LONG, _corr, _gaps, q_rank, r6
+from lexloom.plans.statistics import _LENS, _LONG, _corr, _gaps, q_rank, rnd
 
 ROUNDS = 40
 _JDIMS = ("difficulty", "faithfulness", "terminology", "fluency")
@@ -21,7 +21,7 @@ _JDIMS = ("difficulty", "faithfulness", "terminology", "fluency")
 def weighted_kappa(spark: SparkSession, d: str) -> DataFrame:
     """Mean over the rater pairs of the linearly weighted kappa, each rounded to three places first."""
     k = L.kappa(L.pairs(REL.rater_matrix(spark, d), ["dim"]), ["dim", "pair"], True)
-    return k.groupBy("dim").agg(F.max("n").alias("n"), r6(F.avg(F.round("kappa", 3)), "kappa"))
+    return k.groupBy("dim").agg(F.max("n").alias("n"), rnd(F.avg(F.round("kappa", 3)), "kappa"))
 
 
 def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
@@ -30,30 +30,30 @@ def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
 
     s = REL._sheets(spark, d).where(F.col("valid").isin("Y", "N")).select("item_id", "system", "valid", F.row_number().over(Window.partitionBy("item_id", "system").orderBy("rater")).alias("k")).where("k <= 2")
     p = s.groupBy("item_id", "system").agg(F.max(F.when(F.col("k") == 1, F.col("valid"))).alias("a"), F.max(F.when(F.col("k") == 2, F.col("valid"))).alias("b"))
-    return L.kappa(p, [], False).select("n", r6("kappa"))
+    return L.kappa(p, [], False).select("n", rnd("kappa"))
 
 
 def exact_agreement(spark: SparkSession, d: str) -> DataFrame:
     m = REL.rater_matrix(spark, d)
-    return m.groupBy("dim").agg(F.count("*").alias("n"), r6(100 * F.avg(((F.col("r1") == F.col("r2")) & (F.col("r2") == F.col("r3"))).cast("double")), "percent"))
+    return m.groupBy("dim").agg(F.count("*").alias("n"), rnd(100 * F.avg(((F.col("r1") == F.col("r2")) & (F.col("r2") == F.col("r3"))).cast("double")), "percent"))
 
 
 def icc(spark: SparkSession, d: str) -> DataFrame:
-    return L.icc(REL.rater_matrix(spark, d), ["dim"]).select("dim", "n", r6("icc2k"), r6("icc3k"), r6(F.sqrt(F.greatest(F.lit(0.0), "icc3k")), "ceiling"))
+    return L.icc(REL.rater_matrix(spark, d), ["dim"]).select("dim", "n", rnd("icc2k"), rnd("icc3k"), rnd(F.sqrt(F.greatest(F.lit(0.0), "icc3k")), "ceiling"))
 
 
 def leave_one_out_rho(spark: SparkSession, d: str) -> DataFrame:
-    return L.leave_one_out(REL.rater_matrix(spark, d), ["dim"]).select("dim", r6("rho"))
+    return L.leave_one_out(REL.rater_matrix(spark, d), ["dim"]).select("dim", rnd("rho"))
 
 
 def spearman_brown(spark: SparkSession, d: str) -> DataFrame:
     i = L.icc(REL.rater_matrix(spark, d), ["dim"])
-    return i.select("dim", *[r6(c, n) for n, c in L.spearman_brown(F.col("icc3k")).items()])
+    return i.select("dim", *[rnd(c, n) for n, c in L.spearman_brown(F.col("icc3k")).items()])
 
 
 def design_effect(spark: SparkSession, d: str) -> DataFrame:
     m = _long(spark, d).where("dim = 'difficulty'").groupBy("item_id", "system").agg(F.avg("score").alias("m"))
-    return L.design_effect(m, ["item_id"], "system", "m").select("n_clusters", "m", r6("icc1"), r6("deff"))
+    return L.design_effect(m, ["item_id"], "system", "m").select("n_clusters", "m", rnd("icc1"), rnd("deff"))
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -63,12 +63,12 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ece(spark: SparkSession, d: str) -> DataFrame:
-    return L.calibration(_verdicts(spark, d), ["system"], "confidence", "correct", C.CONFIDENCE_BINS).select("system", "n", r6("ece"))
+    return L.calibration(_verdicts(spark, d), ["system"], "confidence", "correct", C.CONFIDENCE_BINS).select("system", "n", rnd("ece"))
 
 
 def judge_level_means(spark: SparkSession, d: str) -> DataFrame:
     v = _verdicts(spark, d)
-    return v.groupBy("system", "lv").agg(F.count("*").alias("n"), *[r6(F.avg(x), x) for x in _JDIMS], r6(F.avg("confidence"), "confidence"), r6(F.avg("tot"), "auto_tot"))
+    return v.groupBy("system", "lv").agg(F.count("*").alias("n"), *[rnd(F.avg(x), x) for x in _JDIMS], rnd(F.avg("confidence"), "confidence"), rnd(F.avg("tot"), "auto_tot"))
 
 
 def _decodes(spark: SparkSession, d: str) -> DataFrame:
@@ -83,13 +83,13 @@ def self_consistency(spark: SparkSession, d: str) -> DataFrame:
     v = _decodes(spark, d).where("composite is not null")
     g = v.groupBy("item_id", "system").agg(F.count("*").alias("k"), F.sum((F.col("composite") >= C.JUDGE_GOOD).cast("long")).alias("c"), F.stddev_pop("composite").alias("s")).where("k > 1")
     agree = (F.col("c") * (F.col("c") - 1) + (F.col("k") - F.col("c")) * (F.col("k") - F.col("c") - 1)) / (F.col("k") * (F.col("k") - 1))
-    return g.groupBy("system").agg(F.count("*").alias("n"), r6(F.avg(agree), "agreement"), r6(F.avg("s"), "spread"))
+    return g.groupBy("system").agg(F.count("*").alias("n"), rnd(F.avg(agree), "agreement"), rnd(F.avg("s"), "spread"))
 
 
 def decode_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Of the cells with exactly five decodes the share in which all give the same score, by dimension."""
     m = _long(spark, d).groupBy("item_id", "system", "dim").agg(F.count("*").alias("k"), F.count_distinct("score").alias("u")).where("k = 5")
-    return m.groupBy("dim").agg(F.count("*").alias("n"), r6(100 * F.avg((F.col("u") == 1).cast("double")), "percent"))
+    return m.groupBy("dim").agg(F.count("*").alias("n"), rnd(100 * F.avg((F.col("u") == 1).cast("double")), "percent"))
 
 
 def first_valid_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -102,21 +102,21 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of the human-judge rank correlation over resamples of passages, with ranks anew in each."""
     t = REL.three_lens(spark, d).select("id", "human", "judge")
     r = R.spearman(L.resampled(t, "id", ROUNDS, C.BOOTSTRAP_SEED), ["b"], "human", "judge")
-    return L.interval(r, "rho").select("rounds", r6("low"), r6("high"), r6("above"), r6("below"))
+    return L.interval(r, "rho").select("rounds", rnd("low"), rnd("high"), rnd("above"), rnd("below"))
 
 
 def icc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of the average-measures correlation of overall scores over resamples of items."""
     m = REL.rater_matrix(spark, d).where("dim = 'overall'").select("item_id", "r1", "r2", "r3")
     i = L.icc(L.resampled(m, "item_id", ROUNDS, C.BOOTSTRAP_SEED), ["b"])
-    return L.interval(i, "icc3k").select("rounds", r6("low"), r6("high"), r6("above"), r6("below"))
+    return L.interval(i, "icc3k").select("rounds", rnd("low"), rnd("high"), rnd("above"), rnd("below"))
 
 
 def gap_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Over resamples of passages, the share with a significant level gap and the median p, by system."""
     g = L.resampled(_gaps(spark, d), "id", ROUNDS, C.BOOTSTRAP_SEED)
     p = S.signed_rank_p(S.signed_rank(g, ["system", "b"], "gap"))
-    return p.groupBy("system").agg(F.count("*").alias("rounds"), r6(F.avg((F.col("p") < 0.05).cast("double")), "significant"), F.median("p").alias("median_p"))
+    return p.groupBy("system").agg(F.count("*").alias("rounds"), rnd(F.avg((F.col("p") < 0.05).cast("double")), "significant"), F.median("p").alias("median_p"))
 
 
 _MX = f"{_LONG}, {REL.Q_MATRIX}"
@@ -136,17 +136,17 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
-    "weighted_kappa": f"with {_MX}, pr as (select dim, '1-2' as pair, r1 as a, r2 as b from mx union all select dim, '1-3', r1, r3 from mx union all select dim, '2-3', r2, r3 from mx), {_kappa('pr', 'dim, pair, ', 'abs(la.i - lb.i)')}, k as (select dim, pair, n, round(1 - o::double * n / nullif(e, 0), 3) as kappa from kobs join kexp using (dim, pair)) select dim, max(n)::bigint as n, round(avg(kappa), 6) as kappa from k group by dim",
-    "cohen_kappa": f"with {REL.Q_SHEETS}, v as (select item_id, system, valid, row_number() over (partition by item_id, system order by rater) as k from u where valid in ('Y', 'N')), pr as (select max(valid) filter (k = 1) as a, max(valid) filter (k = 2) as b from v group by item_id, system), {_kappa('pr', '', '(la.i <> lb.i)::int')} select n::bigint as n, round(1 - o::double * n / nullif(e, 0), 6) as kappa from kobs, kexp",
-    "exact_agreement": f"with {_MX} select dim, count(*) as n, round(100 * avg((r1 = r2 and r2 = r3)::int::double), 6) as percent from mx group by dim",
-    "icc": f"with {_ICC} select dim, n, round(icc2k, 6) as icc2k, round(icc3k, 6) as icc3k, round(sqrt(greatest(0, icc3k)), 6) as ceiling from ii",
-    "leave_one_out_rho": f"with {_MX}, e as (select dim, 1 as rater, r1 as x, round((r2 + r3) / 2, 9) as y from mx union all select dim, 2, r2, round((r1 + r3) / 2, 9) from mx union all select dim, 3, r3, round((r1 + r2) / 2, 9) from mx), k as (select dim, rater, {q_rank('x', 'dim, rater')} as rx, {q_rank('y', 'dim, rater')} as ry from e), c as (select dim, rater, case when count(*) >= 5 then {_corr('rx', 'ry')} end as rho from k group by all) select dim, round(avg(rho), 6) as rho from c group by dim",
-    "spearman_brown": f"with {_ICC}, s as (select dim, icc3k / (3 - 2 * icc3k) as r from ii), t as (select *, 2 * r / (1 + r) as rel2, 3 * r / (1 + 2 * r) as rel3 from s) select dim, round(r, 6) as single, round(rel2, 6) as rel2, round(rel3, 6) as rel3, round(sqrt(rel3 / nullif(rel2, 0)), 6) as factor from t",
-    "design_effect": f"with {_LONG}, m as (select item_id, system, avg(score) as v from lg where dim = 'difficulty' group by all), k as (select *, row_number() over (partition by item_id order by system) as k, count(*) over (partition by item_id) as c from m), l as (select *, min(c) over () as m from k), g as (select item_id, avg(v) as g, sum(v) as s, sum(v * v) as q, max(m)::double as m from l where k <= m group by 1), a as (select count(*) as n_clusters, max(m) as m, max(m) * var_pop(g) as msb, avg((q - s * s / m) / (m - 1)) as msw from g), i as (select *, (msb - msw) / (msb + (m - 1) * msw) as icc1 from a) select n_clusters, m::bigint as m, round(icc1, 6) as icc1, round(1 + (m - 1) * icc1, 6) as deff from i",
-    "ece": f"with {_VERDICT}, b as (select system, ceil(round(conf * 5, 9)) as bin, conf, correct::int::double as k from vc where conf is not null and correct is not null), g as (select system, case when bin between 1 and 5 then bin end as bin, count(*) as m, avg(conf) as c, avg(k) as a from b group by all) select system, sum(m)::bigint as n, round(sum(case when bin is not null then m * abs(a - c) else 0 end) / sum(m), 6) as ece from g group by system",
-    "judge_level_means": f"with {_VERDICT} select system, lv, count(*) as n, " + ", ".join(f"round(avg(judge.{x}), 6) as {x}" for x in _JDIMS) + ", round(avg(conf), 6) as confidence, round(avg(tot), 6) as auto_tot from vc group by all",
-    "self_consistency": f"with {REL.Q_SHEETS}, v as (select item_id, system, (difficulty + meaning + terminology + fluency)::double / 4 as x from u where difficulty + meaning + terminology + fluency is not null), g as (select system, count(*) as k, count(*) filter (x >= 3.5) as c, stddev_pop(x) as s from v group by item_id, system having count(*) > 1) select system, count(*) as n, round(avg((c * (c - 1) + (k - c) * (k - c - 1))::double / (k * (k - 1))), 6) as agreement, round(avg(s), 6) as spread from g group by system",
-    "decode_agreement": f"with {_LONG}, m as (select dim, count(distinct score) as u from lg group by item_id, system, dim having count(*) = 5) select dim, count(*) as n, round(100 * avg((u = 1)::int::double), 6) as percent from m group by dim",
+    "weighted_kappa": f"with {_MX}, pr as (select dim, '1-2' as pair, r1 as a, r2 as b from mx union all select dim, '1-3', r1, r3 from mx union all select dim, '2-3', r2, r3 from mx), {_kappa('pr', 'dim, pair, ', 'abs(la.i - lb.i)')}, k as (select dim, pair, n, round(1 - o::double * n / nullif(e, 0), 3) as kappa from kobs join kexp using (dim, pair)) select dim, max(n)::bigint as n, round(avg(kappa), 9) as kappa from k group by dim",
+    "cohen_kappa": f"with {REL.Q_SHEETS}, v as (select item_id, system, valid, row_number() over (partition by item_id, system order by rater) as k from u where valid in ('Y', 'N')), pr as (select max(valid) filter (k = 1) as a, max(valid) filter (k = 2) as b from v group by item_id, system), {_kappa('pr', '', '(la.i <> lb.i)::int')} select n::bigint as n, round(1 - o::double * n / nullif(e, 0), 9) as kappa from kobs, kexp",
+    "exact_agreement": f"with {_MX} select dim, count(*) as n, round(100 * avg((r1 = r2 and r2 = r3)::int::double), 9) as percent from mx group by dim",
+    "icc": f"with {_ICC} select dim, n, round(icc2k, 9) as icc2k, round(icc3k, 9) as icc3k, round(sqrt(greatest(0, icc3k)), 9) as ceiling from ii",
+    "leave_one_out_rho": f"with {_MX}, e as (select dim, 1 as rater, r1 as x, round((r2 + r3) / 2, 9) as y from mx union all select dim, 2, r2, round((r1 + r3) / 2, 9) from mx union all select dim, 3, r3, round((r1 + r2) / 2, 9) from mx), k as (select dim, rater, {q_rank('x', 'dim, rater')} as rx, {q_rank('y', 'dim, rater')} as ry from e), c as (select dim, rater, case when count(*) >= 5 then {_corr('rx', 'ry')} end as rho from k group by all) select dim, round(avg(rho), 9) as rho from c group by dim",
+    "spearman_brown": f"with {_ICC}, s as (select dim, icc3k / (3 - 2 * icc3k) as r from ii), t as (select *, 2 * r / (1 + r) as rel2, 3 * r / (1 + 2 * r) as rel3 from s) select dim, round(r, 9) as single, round(rel2, 9) as rel2, round(rel3, 9) as rel3, round(sqrt(rel3 / nullif(rel2, 0)), 9) as factor from t",
+    "design_effect": f"with {_LONG}, m as (select item_id, system, avg(score) as v from lg where dim = 'difficulty' group by all), k as (select *, row_number() over (partition by item_id order by system) as k, count(*) over (partition by item_id) as c from m), l as (select *, min(c) over () as m from k), g as (select item_id, avg(v) as g, sum(v) as s, sum(v * v) as q, max(m)::double as m from l where k <= m group by 1), a as (select count(*) as n_clusters, max(m) as m, max(m) * var_pop(g) as msb, avg((q - s * s / m) / (m - 1)) as msw from g), i as (select *, (msb - msw) / (msb + (m - 1) * msw) as icc1 from a) select n_clusters, m::bigint as m, round(icc1, 9) as icc1, round(1 + (m - 1) * icc1, 9) as deff from i",
+    "ece": f"with {_VERDICT}, b as (select system, ceil(round(conf * 5, 9)) as bin, conf, correct::int::double as k from vc where conf is not null and correct is not null), g as (select system, case when bin between 1 and 5 then bin end as bin, count(*) as m, avg(conf) as c, avg(k) as a from b group by all) select system, sum(m)::bigint as n, round(sum(case when bin is not null then m * abs(a - c) else 0 end) / sum(m), 9) as ece from g group by system",
+    "judge_level_means": f"with {_VERDICT} select system, lv, count(*) as n, " + ", ".join(f"round(avg(judge.{x}), 9) as {x}" for x in _JDIMS) + ", round(avg(conf), 9) as confidence, round(avg(tot), 9) as auto_tot from vc group by all",
+    "self_consistency": f"with {REL.Q_SHEETS}, v as (select item_id, system, (difficulty + meaning + terminology + fluency)::double / 4 as x from u where difficulty + meaning + terminology + fluency is not null), g as (select system, count(*) as k, count(*) filter (x >= 3.5) as c, stddev_pop(x) as s from v group by item_id, system having count(*) > 1) select system, count(*) as n, round(avg((c * (c - 1) + (k - c) * (k - c - 1))::double / (k * (k - 1))), 9) as agreement, round(avg(s), 9) as spread from g group by system",
+    "decode_agreement": f"with {_LONG}, m as (select dim, count(distinct score) as u from lg group by item_id, system, dim having count(*) = 5) select dim, count(*) as n, round(100 * avg((u = 1)::int::double), 9) as percent from m group by dim",
     "first_valid_decode": "select id, lower(trim(lv)) as lv, system, min(judge_id) as judge_id, min_by(judge.difficulty, judge_id) as difficulty from judged where judge is not null group by all",
-    "cluster_bootstrap": f"with {_BOOT} select count(rho) as rounds, round(quantile_cont(rho, 0.025), 6) as low, round(quantile_cont(rho, 0.975), 6) as high, round(avg((rho > 0)::int::double), 6) as above, round(avg((rho < 0)::int::double), 6) as below from bb where rho is not null",
+    "cluster_bootstrap": f"with {_BOOT} select count(rho) as rounds, round(quantile_cont(rho, 0.025), 9) as low, round(quantile_cont(rho, 0.975), 9) as high, round(avg((rho > 0)::int::double), 9) as above, round(avg((rho < 0)::int::double), 9) as below from bb where rho is not null",
 }

@@ -43,7 +43,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight nearest vectors of every vector whose id is divisible by 50."""
     e = K.table(spark, d, "embeddings")
     top = R.dense_topk(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 8)
-    return top.select("q", F.col("key").alias("vec_id"), F.round("sim", 6).alias("sim"), "rank")
+    return top.select("q", F.col("key").alias("vec_id"), F.round("sim", 9).alias("sim"), "rank")
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,7 @@ g as (select q, id, 0.4::double * count(*) / greatest(1, any_value(n)) as graph
 
 
 def graph_score(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).select("q", "id", F.round("graph", 6).alias("graph"))
+    return _graph(spark, d).select("q", "id", F.round("graph", 9).alias("graph"))
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     dense = R.dense_topk(e, queries, "vec_id", "embedding", 8).select("q", F.col("key").alias("vec_id"), "sim")
     label = lambda x: x.select("vec_id", F.col("label").cast("string").alias("term"))
     graph = R.graph_scores(label(queries), label(e), "vec_id")
-    return R.fused(dense, graph, "vec_id", 2).select("q", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return R.fused(dense, graph, "vec_id", 2).select("q", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
 _DENSE = "em as (select vec_id, embedding::double[] as v, label from embeddings where vec_id is not null and embedding is not null), dn as (select a.vec_id as q, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as sim from em a join em b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0), dk as (select *, row_number() over (partition by q order by sim desc, vec_id)::int as rank from dn qualify rank <= 8)"
@@ -112,7 +112,7 @@ def _triples(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_align(spark: SparkSession, d: str) -> DataFrame:
     t = _triples(spark, d).select("id", "lv", T.sentences("rew").alias("l"), T.sentences("src").alias("r"))
-    return R.aligned_sentences(t, ["id", "lv"], "l", "r").select("id", "lv", "pos", "match", F.round("jaccard", 6).alias("jaccard"))
+    return R.aligned_sentences(t, ["id", "lv"], "l", "r").select("id", "lv", "pos", "match", F.round("jaccard", 9).alias("jaccard"))
 
 
 def sari_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def sari_doc(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda arr, at, whole: F.coalesce(F.try_element_at(F.col(arr), F.col(at) + 1), F.col(whole))
     out = out.select("id", "lv", T.words("o").alias("o"), T.words(pick("r", "mr", "ref")).alias("r"), T.words(pick("s", "ms", "src")).alias("s"))
     score = out.groupBy("id", "lv").agg(F.avg(RW.simplification(F.col("o"), F.col("r"), F.col("s"))).alias("sari"))
-    return t.select("id", "lv").join(score, ["id", "lv"], "left").select("id", "lv", F.round(F.coalesce("sari", F.lit(0.0)), 6).alias("sari"))
+    return t.select("id", "lv").join(score, ["id", "lv"], "left").select("id", "lv", F.round(F.coalesce("sari", F.lit(0.0)), 9).alias("sari"))
 
 
 def _bleu_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def corpus_bleu(spark: SparkSession, d: str) -> DataFrame:
     j = c.crossJoin(F.broadcast(size))  # one row each
     bp = F.when(F.col("o") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "o")))
     logs = sum((F.log(F.col(f"p{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
-    return j.select(*[F.round(f"p{n}", 6).alias(f"p{n}") for n in range(1, 5)], F.round(bp, 6).alias("brevity"), F.round(bp * F.exp(logs), 6).alias("bleu"))
+    return j.select(*[F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)], F.round(bp, 9).alias("brevity"), F.round(bp * F.exp(logs), 9).alias("bleu"))
 
 
 def smoothed_bleu(matched: list[int], total: list[int], out_words: int, ref_words: int) -> float:
@@ -173,9 +173,9 @@ SQL = {
     "terms_in_text": f"with {_P} select id, array_to_string(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)), '|') as present from p, ta",
     "contains_term_edges": f"with {_E} select id, term from e",
     "related_edges": f"with {_E}, ft as (select term from tm order by term limit 20), a as (select distinct e.id as a from e join ft using (term) where e.id like 'opin%'), b as (select distinct id as b from p where id like 'stat%' and text is not null order by b limit 2) select a, b from a, b",
-    "dense_topk": f"with {_DENSE} select q, vec_id, round(sim, 6) as sim, rank from dk",
-    "graph_score": f"with {_G} select q, id, round(graph, 6) as graph from g",
-    "hybrid_topk": f"with {_DENSE}, gr as (select a.vec_id as q, b.vec_id, 0.4::double as graph from em a join em b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0), f as (select q, vec_id, 0.7::double * coalesce(sim, 0) + coalesce(graph, 0) as score from dk full join gr using (q, vec_id)), r as (select *, row_number() over (partition by q order by round(score, 9) desc, vec_id)::int as rank from f) select q, vec_id, round(score, 6) as score, rank from r where rank <= 2",
+    "dense_topk": f"with {_DENSE} select q, vec_id, round(sim, 9) as sim, rank from dk",
+    "graph_score": f"with {_G} select q, id, round(graph, 9) as graph from g",
+    "hybrid_topk": f"with {_DENSE}, gr as (select a.vec_id as q, b.vec_id, 0.4::double as graph from em a join em b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0), f as (select q, vec_id, 0.7::double * coalesce(sim, 0) + coalesce(graph, 0) as score from dk full join gr using (q, vec_id)), r as (select *, row_number() over (partition by q order by round(score, 9) desc, vec_id)::int as rank from f) select q, vec_id, round(score, 9) as score, rank from r where rank <= 2",
     "term_context": f"with {_P}, {_DEFS} select id, {_CONTEXT} as context from p, ta, td",
     "rag_context": f"""with {_G}, {_DEFS}, pt as (select id, min(text) as text from sn group by 1), gq as (select id, min(text) as text from sn where split = 'test' and try_cast(regexp_extract(id, '([0-9]+)$', 1) as int) % 50 = 0 group by 1),
 b as (select q, id, row_number() over (partition by q order by round(graph, 9) desc, id) as k from g), l as (select b.q, string_agg('> ' || replace(substr(coalesce(pt.text, ''), 1, 280), chr(10), ' '), chr(10) || chr(10) order by k) as shown from b join pt using (id) where k <= 2 group by 1),
@@ -184,10 +184,10 @@ select id, concat_ws(chr(10) || chr(10), case when tc <> '' then 'Terms:' || chr
     "sentence_align": f"""with {_TRIPLE}, x as (select id, lv, {K.q_sentences('rew')} as l, {K.q_sentences('src')} as r from j),
 a as (select id, lv, unnest(range(len(l)))::int as pos, unnest(l) as s, r from x), b as (select id, lv, pos, list_distinct({K.q_lower_tokens('s')}) as a, unnest(range(len(r)))::int as match, unnest(r) as t from a),
 c as (select id, lv, pos, match, a, list_distinct({K.q_lower_tokens('t')}) as b from b), e as (select id, lv, pos, match, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) as jaccard from c)
-select id, lv, pos, match, round(jaccard, 6) as jaccard from (select *, row_number() over (partition by id, lv, pos order by jaccard desc, match) as k from e where jaccard > 0) where k = 1""",
+select id, lv, pos, match, round(jaccard, 9) as jaccard from (select *, row_number() over (partition by id, lv, pos order by jaccard desc, match) as k from e where jaccard > 0) where k = 1""",
     "corpus_bleu": f"""with {_TRIPLE}, w as (select id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r from j), go as {_GRAMS('o', 'co')}, gr as {_GRAMS('r', 'cr')},
 c as (select n, sum(least(co, coalesce(cr, 0)))::double / sum(co) as p from go left join gr using (id, lv, n, g) group by n),
 v as (select max(p) filter (n = 1) as p1, max(p) filter (n = 2) as p2, max(p) filter (n = 3) as p3, max(p) filter (n = 4) as p4 from c), z as (select sum(len(o))::double as o, sum(len(r))::double as r from w),
 y as (select *, case when o > r then 1::double else exp(1 - r / o) end as bp from v, z)
-select round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, round(p4, 6) as p4, round(bp, 6) as brevity, round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 6) as bleu from y""",
+select round(p1, 9) as p1, round(p2, 9) as p2, round(p3, 9) as p3, round(p4, 9) as p4, round(bp, 9) as brevity, round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 9) as bleu from y""",
 }

@@ -30,12 +30,12 @@ def readability_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Reading ease by language and asked level, with subtotals: the flagship query."""
     rows = _docs(spark, d).where("text is not null").select(F.lower(F.coalesce("lang", F.lit("?"))).alias("lang"), F.element_at(F.array(*[F.lit(x) for x in C.LEVELS]), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("lv"), T.flesch("text").alias("fre"))
     near = F.avg((F.abs(F.col("fre") - T.level_target("lv")) <= 10).cast("double"))
-    return rows.rollup("lang", "lv").agg(F.count("*").alias("n"), F.round(F.avg("fre"), 6).alias("fre_mean"), F.round(F.median("fre"), 6).alias("fre_median"), F.round(F.stddev_pop("fre"), 6).alias("fre_std"), F.round(near, 6).alias("in_band"))
+    return rows.rollup("lang", "lv").agg(F.count("*").alias("n"), F.round(F.avg("fre"), 9).alias("fre_mean"), F.round(F.median("fre"), 9).alias("fre_median"), F.round(F.stddev_pop("fre"), 9).alias("fre_std"), F.round(near, 9).alias("in_band"))
 
 
 _READABILITY = f"""
 with r as (select lower(coalesce(lang, '?')) as lang, {K.q_list(list(C.LEVELS))}[(doc_id % 3) + 1] as lv, {K.q_flesch('text')} as fre from documents where text is not null)
-select lang, lv, count(*) as n, round(avg(fre), 6) as fre_mean, round(median(fre), 6) as fre_median, round(stddev_pop(fre), 6) as fre_std, round(avg((abs(fre - {K.Q_TARGET}) <= 10)::int::double), 6) as in_band from r group by rollup (lang, lv)
+select lang, lv, count(*) as n, round(avg(fre), 9) as fre_mean, round(median(fre), 9) as fre_median, round(stddev_pop(fre), 9) as fre_std, round(avg((abs(fre - {K.Q_TARGET}) <= 10)::int::double), 9) as in_band from r group by rollup (lang, lv)
 """
 
 
@@ -147,7 +147,7 @@ def judge_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flesch(spark: SparkSession, d: str) -> DataFrame:
-    return K.scored(spark, d, "rew").select("tag", "id", "lv", F.round(T.flesch("rew"), 6).alias("fre"))
+    return K.scored(spark, d, "rew").select("tag", "id", "lv", F.round(T.flesch("rew"), 9).alias("fre"))
 
 
 def rich_readability(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ def rich_readability(spark: SparkSession, d: str) -> DataFrame:
     rows = K.with_terms(K.scored(spark, d, "rew"), spark, d).select("tag", "id", "lv", T.tokens("rew").alias("tok"), T.lower_tokens("rew").alias("low"), T.sentence_count("rew").cast("double").alias("s"), F.size(R.present_terms("rew", F.col("terms"))).cast("double").alias("there"))
     hard = F.size(F.filter("low", lambda x: T.syllables(x) >= 3)).cast("double")
     rows = rows.withColumns({"w": w, "syl": T.syllable_count(F.col("low")).cast("double"), "hard": hard, "letters": F.aggregate("tok", F.lit(0), lambda a, x: a + F.length(x)).cast("double"), "kinds": F.size(F.array_distinct("low")).cast("double")})
-    per = lambda c: F.coalesce(F.round(c, 6), F.lit(0.0))
+    per = lambda c: F.coalesce(F.round(c, 9), F.lit(0.0))
     return rows.select(
         "tag", "id", "lv",
         per(0.39 * F.try_divide("w", "s") + 11.8 * F.try_divide("syl", "w") - 15.59).alias("grade"),
@@ -200,7 +200,7 @@ def sari_sentence(spark: SparkSession, d: str) -> DataFrame:
     a, b = (K.scored(spark, d, *c).where(F.col("tag") == t) for t, c in (("base", ("src", "rew")), ("tuned", ("rew",))))
     j = a.where("src is not null and rew is not null").join(b.where("rew is not null").select("id", "lv", F.col("rew").alias("ref")), ["id", "lv"])
     j = j.select("id", "lv", T.words("rew").alias("o"), T.words("ref").alias("r"), T.words("src").alias("s"))
-    return j.select("id", "lv", F.round(R.simplification(F.col("o"), F.col("r"), F.col("s")), 6).alias("sari"))
+    return j.select("id", "lv", F.round(R.simplification(F.col("o"), F.col("r"), F.col("s")), 9).alias("sari"))
 
 
 _TRIPLE = f"{K.Q_SCORED}, j as (select a.id, a.lv, a.src, a.rew, b.rew as ref from s a join s b on a.id = b.id and a.lv = b.lv and a.tag = 'base' and b.tag = 'tuned' where a.src is not null and a.rew is not null and b.rew is not null)"
@@ -215,7 +215,7 @@ def _q_sari() -> str:
         o, r, s = f"o{n}", f"r{n}", f"s{n}"
         minus = lambda a, b: f"list_filter({a}, lambda g: not list_contains({b}, g))"
         parts += [K.q_set_f1(minus(o, s), minus(r, s)), K.q_set_f1(f"list_intersect({o}, {s})", f"list_intersect({r}, {s})"), K.q_set_f1(minus(s, o), minus(s, r))]
-    return f"with {_TRIPLE}, w as (select id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r, {K.q_words('src')} as s from j), g as (select id, lv, {', '.join(cols)} from w) select id, lv, round(({' + '.join(parts)}) / 12, 6) as sari from g"
+    return f"with {_TRIPLE}, w as (select id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r, {K.q_words('src')} as s from j), g as (select id, lv, {', '.join(cols)} from w) select id, lv, round(({' + '.join(parts)}) / 12, 9) as sari from g"
 
 
 _S = f"with {K.Q_SCORED}"
@@ -260,10 +260,10 @@ SQL = {
     "strip_preamble": f"{_S}, x as (select tag, id, lv, coalesce(rew, '') as t from s) select tag, id, lv, {_q_preamble('t', ['drafting', 'planning notes', 'let me'])} as body from x",
     "parse_scores": _q_parse(),
     "judge_prompt": f"{_S} select tag, id, lv, 'Level: ' || lv || chr(10) || 'Source:' || chr(10) || substr(coalesce(src, ''), 1, 3000) || chr(10) || 'Rewrite:' || chr(10) || substr(coalesce(rew, ''), 1, 3000) || chr(10) || 'Give a JSON object with five scores.' as prompt from s",
-    "flesch": f"{_S} select tag, id, lv, round({K.q_flesch('rew')}, 6) as fre from s",
+    "flesch": f"{_S} select tag, id, lv, round({K.q_flesch('rew')}, 9) as fre from s",
     "rich_readability": f"""with {K.Q_SCORED}, {K.Q_TERMS}, b as (select tag, id, lv, {K.q_tokens('rew')} as tok, {K.q_lower_tokens('rew')} as low, {K.q_sentence_count('rew')}::double as n, len(list_filter(terms, lambda t: contains(lower(coalesce(rew, '')), t)))::double as there from s, ta),
 m as (select *, nullif(len(tok), 0)::double as w, {K.q_syllable_count('low')} as syl, len(list_filter(low, lambda x: {K.q_syllables('x')} >= 3))::double as hard, coalesce(list_sum(list_transform(tok, lambda x: length(x))), 0)::double as letters, len(list_distinct(low))::double as kinds from b)
-select tag, id, lv, coalesce(round(0.39::double * w / n + 11.8::double * syl / w - 15.59::double, 6), 0::double) as grade, coalesce(round(0.4::double * (w / n + 100 * hard / w), 6), 0::double) as fog, coalesce(round(letters / w, 6), 0::double) as word_length, coalesce(round(kinds / w, 6), 0::double) as ttr, coalesce(round(w / n, 6), 0::double) as sentence_length, coalesce(round(there / w, 6), 0::double) as term_density from m""",
+select tag, id, lv, coalesce(round(0.39::double * w / n + 11.8::double * syl / w - 15.59::double, 9), 0::double) as grade, coalesce(round(0.4::double * (w / n + 100 * hard / w), 9), 0::double) as fog, coalesce(round(letters / w, 9), 0::double) as word_length, coalesce(round(kinds / w, 9), 0::double) as ttr, coalesce(round(w / n, 9), 0::double) as sentence_length, coalesce(round(there / w, 9), 0::double) as term_density from m""",
     "r_fmt": f"{_S} select tag, id, lv, round({_FMT_VALUE}, 9) as r_fmt from s",
     "r_diff": f"{_S} select tag, id, lv, round({_DIFF_VALUE}, 9) as r_diff from s",
     "r_term": f"with {K.Q_SCORED}, {K.Q_TERMS} select tag, id, lv, round({_TERM_VALUE}, 9) as r_term from s, ta",

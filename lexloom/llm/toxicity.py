@@ -26,6 +26,8 @@ MARKED = 4000  # labelled documents that the classifier is fitted on, half of th
 UNLABELLED = 3000  # other documents that it is fitted on, likewise
 WINDOW = 8  # words of a window
 PRIOR = 0.01  # share of telling windows that the risk estimator assumes
+BACK = 3.0  # weight of the step back where the estimated negative risk would fall below zero
+THRESHOLDS = (0.5, 1.5)  # range of the threshold; marks are partly wrong, and few where the corpus is small
 BITS = 18  # hash space of the features
 STEPS = 70
 
@@ -278,9 +280,9 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int) -> tuple[
         if risk >= 0:
             gp = prior * ((sp - 1) - sp) / len(pos)  # loss as positive, less the loss as negative
             gu = su / len(unl)
-        else:  # the estimate of the negative risk must not fall below zero: step back
-            gp = prior * sp / len(pos)
-            gu = -su / len(unl)
+        else:  # the estimate of the negative risk must not fall below zero: it steps back while the positive risk still falls
+            gp = prior * ((sp - 1) + BACK * sp) / len(pos)
+            gu = -BACK * su / len(unl)
         g = np.bincount(pos.ravel(), np.repeat(gp, pos.shape[1]), n + 1) + np.bincount(unl.ravel(), np.repeat(gu, unl.shape[1]), n + 1)
         g = g * 100 + 2e-4 * w
         g[n] = 0
@@ -309,7 +311,8 @@ def learn(marked: list[str], clean: list[str], unlabelled: list[str], rounds: in
     letters = {}
     for word in sorted({x for p in seeds for x in p.split() if x.isascii() and x.isalpha() and len(x) > 2}):
         w, _, _ = words(pa.array([word], pa.large_string()))
-        if not (n[np.minimum(np.searchsorted(u, w[0]), max(len(u) - 1, 0))] > 0.05 * max(len(unlabelled), 1) and len(u) and u[np.minimum(np.searchsorted(u, w[0]), len(u) - 1)] == w[0]):
+        i = int(np.searchsorted(u, w[0]))
+        if i == len(u) or u[i] != w[0] or n[i] <= 0.05 * max(len(unlabelled), 1):  # everyday words are not masked
             letters.setdefault(int(mask_key(word)), []).append(w[0])
     keys = np.array(sorted(letters), np.uint64)
     model = Classifier(vocabulary, np.zeros(1 << BITS), 0.0, 0.0, (keys, np.array([letters[int(k)][0] for k in keys], np.uint64)))
@@ -355,7 +358,7 @@ def _borne_out(bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, n: int) -
 
 def _threshold(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, marked: list[str], clean: list[str]) -> float:
     if len(marked) < 20 or len(clean) < 100:
-        return 0.0
+        return THRESHOLDS[0]
     half = bag.text % 2 == 0
     w, b = _train(np.concatenate([bag.f[chosen & half], fixed.f]), pool.f, PRIOR, STEPS)
     other = Classifier(model.vocabulary, w, b, 0.0, model.masks)
@@ -363,7 +366,7 @@ def _threshold(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag, po
     neg = other.scores(pa.array(clean, pa.large_string()))
     grid = np.arange(-2.0, 3.01, 0.1)
     f1 = [2 * (pos > t).sum() / max((pos > t).sum() + (neg > t).sum() + len(pos), 1) for t in grid]
-    return float(np.mean(grid[np.array(f1) >= max(f1) - 1e-9]))
+    return float(np.clip(np.mean(grid[np.array(f1) >= max(f1) - 1e-9]), *THRESHOLDS))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Classifier:

@@ -102,3 +102,19 @@ def cases(spark: SparkSession, path: str) -> DataFrame:
     """(name, text) of saved answers of a case service: `results` with a name and a text of one line."""
     d = json_document(spark, path, "results array<struct<name:string,text:string>>")
     return d.select(F.explode("results").alias("c")).select("c.name", F.trim(F.regexp_replace("c.text", r"\s+", " ")).alias("text"))
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, modified) of the files under a model or data folder, without reading them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, vector) of vectors kept as parquet."""
+    return spark.read.schema(S.EMBEDDING).parquet(path)
+
+
+def edges(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, type) of a graph kept as JSON lines."""
+    return json_lines(spark, path, S.EDGE)

@@ -27,7 +27,9 @@ UNLABELLED = 3000  # other documents that it is fitted on, likewise
 WINDOW = 8  # words of a window
 PRIOR = 0.01  # share of telling windows that the risk estimator assumes
 BACK = 3.0  # weight of the step back where the estimated negative risk would fall below zero
-THRESHOLDS = (0.5, 1.5)  # range of the threshold; marks are partly wrong, and few where the corpus is small
+FOLDS = 4
+TYPICAL = 0.93  # share of clean texts that a marked text must outdo to count as borne out
+THRESHOLDS = (0.3, 1.0)  # range of the threshold; marks are partly wrong, and few where the corpus is small
 BITS = 18  # hash space of the features
 STEPS = 70
 
@@ -296,7 +298,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int) -> tuple[
     return w[:n], b
 
 
-def learn(marked: list[str], clean: list[str], unlabelled: list[str], rounds: int = 3) -> Classifier:
+def learn(marked: list[str], clean: list[str], unlabelled: list[str], rounds: int = 2) -> Classifier:
     """Classifier from texts marked as abusive, texts marked as clean (for the threshold only) and unlabelled texts."""
     seeds = _confirmed()
     corpus = pa.array(unlabelled + marked, pa.large_string())
@@ -325,48 +327,36 @@ def learn(marked: list[str], clean: list[str], unlabelled: list[str], rounds: in
     guess = np.append(np.bincount(fixed.f[fixed.f >= 0].ravel(), minlength=1 << BITS) > 0, False) * 3.0
     score = (rare + guess * rare)[bag.f].sum(1)
     chosen = np.zeros(len(bag.f), bool)
-    for r in range(rounds):
+    for _ in range(rounds):
         if len(bag.f):
             best = np.full(len(marked), -np.inf)
             np.maximum.at(best, bag.text, score)
             chosen = score >= best[bag.text] - 1e-9
-            if r == rounds - 1:
-                chosen &= _borne_out(bag, chosen, fixed, pool, len(unlabelled))[bag.text]
-        pos = np.concatenate([bag.f[chosen], fixed.f])
-        model.weight, model.bias = _train(pos, pool.f, PRIOR, STEPS)
+        model.weight, model.bias = _train(np.concatenate([bag.f[chosen], fixed.f]), pool.f, PRIOR, STEPS)
         score = bag.margin(model.weight, model.bias)
-    # the threshold parts the marked from the unmarked best; a fold's own windows are no witnesses, so half of the
-    # marked texts vote on a model of the other half
-    model.threshold = _threshold(model, bag, chosen, fixed, pool, marked, clean)
+    model.threshold = THRESHOLDS[0]
+    if len(marked) >= FOLDS and len(clean) >= 20:
+        keep, model.threshold = _cross_check(model, bag, chosen, fixed, pool, marked, clean)
+        model.weight, model.bias = _train(np.concatenate([bag.f[chosen & keep[bag.text]], fixed.f]), pool.f, PRIOR, STEPS)
     return model
 
 
-def _borne_out(bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, n: int) -> np.ndarray:
-    """Marked texts that a model of the other half of them rates above most unlabelled texts; marks are partly wrong."""
-    keep = np.ones(int(bag.text.max()) + 1, bool)
-    for fold in (0, 1):
-        mine = bag.text % 2 == fold
-        w, b = _train(np.concatenate([bag.f[chosen & ~mine], fixed.f]), pool.f, PRIOR, STEPS)
-        typical = np.full(max(n, int(pool.text.max()) + 1), -np.inf)
-        np.maximum.at(typical, pool.text, pool.margin(w, b))
-        best = np.full(len(keep), -np.inf)
-        np.maximum.at(best, bag.text, bag.margin(w, b))
-        rows = np.arange(len(keep)) % 2 == fold
-        keep[rows] = best[rows] > np.quantile(typical[np.isfinite(typical)], 0.8)
-    return keep
-
-
-def _threshold(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, marked: list[str], clean: list[str]) -> float:
-    if len(marked) < 20 or len(clean) < 100:
-        return THRESHOLDS[0]
-    half = bag.text % 2 == 0
-    w, b = _train(np.concatenate([bag.f[chosen & half], fixed.f]), pool.f, PRIOR, STEPS)
-    other = Classifier(model.vocabulary, w, b, 0.0, model.masks)
-    pos = other.scores(pa.array(marked[1::2], pa.large_string()))
-    neg = other.scores(pa.array(clean, pa.large_string()))
-    grid = np.arange(-2.0, 3.01, 0.1)
-    f1 = [2 * (pos > t).sum() / max((pos > t).sum() + (neg > t).sum() + len(pos), 1) for t in grid]
-    return float(np.clip(np.mean(grid[np.array(f1) >= max(f1) - 1e-9]), *THRESHOLDS))
+def _cross_check(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, marked: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
+    """(marked texts that models of the other folds rate above most clean texts, threshold of best F1 over the rest).
+
+    Marks are partly wrong: a text that only its own windows speak for is left out. No text is scored by a model that saw it.
+    """
+    pos, neg = np.zeros(len(marked)), np.zeros(len(clean))
+    for f in range(FOLDS):
+        w, b = _train(np.concatenate([bag.f[chosen & (bag.text % FOLDS != f)], fixed.f]), pool.f, PRIOR, STEPS)
+        fold = Classifier(model.vocabulary, w, b, 0.0, model.masks)
+        pos[f::FOLDS] = fold.scores(pa.array(marked[f::FOLDS], pa.large_string()))
+        neg[f::FOLDS] = fold.scores(pa.array(clean[f::FOLDS], pa.large_string()))
+    keep = pos > np.quantile(neg, TYPICAL)
+    p = pos[keep]
+    grid = np.arange(THRESHOLDS[0], THRESHOLDS[1] + 0.01, 0.1)
+    f1 = np.array([2 * (p > t).sum() / max((p > t).sum() + (neg > t).sum() + len(p), 1) for t in grid])
+    return keep, float(np.mean(grid[f1 >= f1.max() - 1e-9]))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Classifier:

@@ -26,9 +26,10 @@ MARKED = 4000  # labelled documents that the classifier is fitted on, half of th
 UNLABELLED = 3000  # other documents that it is fitted on, likewise
 WINDOW = 8  # words of a window
 PRIOR = 0.01  # share of telling windows that the risk estimator assumes
-BACK = 3.0  # weight of the step back where the estimated negative risk would fall below zero
+BACK = 0.3  # weight of the step back where the estimated negative risk would fall below zero
 FOLDS = 4
 TYPICAL = 0.93  # share of clean texts that a marked text must outdo to count as borne out
+NEUTRAL = -1.0  # least such score in any case; a text of few words scores near the bias, about -2
 THRESHOLDS = (0.3, 1.0)  # range of the threshold; marks are partly wrong, and few where the corpus is small
 BITS = 18  # hash space of the features
 STEPS = 70
@@ -284,7 +285,7 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int) -> tuple[
             gu = su / len(unl)
         else:  # the estimate of the negative risk must not fall below zero: it steps back while the positive risk still falls
             gp = prior * ((sp - 1) + BACK * sp) / len(pos)
-            gu = -BACK * su / len(unl)
+            gu = -BACK * su * (zu > 0) / len(unl)  # for the unlabelled windows that look telling; doubtful ones are not lifted
         g = np.bincount(pos.ravel(), np.repeat(gp, pos.shape[1]), n + 1) + np.bincount(unl.ravel(), np.repeat(gu, unl.shape[1]), n + 1)
         g = g * 100 + 2e-4 * w
         g[n] = 0
@@ -352,7 +353,7 @@ def _cross_check(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag,
         fold = Classifier(model.vocabulary, w, b, 0.0, model.masks)
         pos[f::FOLDS] = fold.scores(pa.array(marked[f::FOLDS], pa.large_string()))
         neg[f::FOLDS] = fold.scores(pa.array(clean[f::FOLDS], pa.large_string()))
-    keep = pos > np.quantile(neg, TYPICAL)
+    keep = pos > max(np.quantile(neg, TYPICAL), NEUTRAL)
     p = pos[keep]
     grid = np.arange(THRESHOLDS[0], THRESHOLDS[1] + 0.01, 0.1)
     f1 = np.array([2 * (p > t).sum() / max((p > t).sum() + (neg > t).sum() + len(p), 1) for t in grid])

@@ -27,6 +27,8 @@ ANSWER, REFUSAL, REMARK, ECHO, FOREIGN, UNFINISHED = range(6)
 SAMPLE = 1500  # rows that the field is trained on, the least by hash of their key; all rows where there are fewer
 COPIED = 0.75  # share of the prompt's words that a copy holds
 STEPS = 90
+SHORT = 40  # words of a short row
+DECLINED = 2.0  # log odds of a clause's words, over the root of their number, from which they are those of refusals
 
 # Cues of a refusal, as words without punctuation.
 REFUSALS = """
@@ -142,14 +144,16 @@ class Text:
     latin_words: np.ndarray
     english: np.ndarray  # share of short English words by row
     sentences: np.ndarray  # ends of sentences by row
+    declined: np.ndarray  # how much the words of each clause are those of refusals
 
 
+_NO_TABLE = (np.zeros(0, np.uint64), np.zeros(0))
 NAMES = ("bias", "refusal", "remark", "first person", "quoted", "echo", "others", "english", "non-latin", "open end", "finality", "cut word", "ellipsis", "first", "last", "short", "colon", "talk", "opener", "bullet", "firm end")
 _COL = {n: i for i, n in enumerate(NAMES)}
 
 
-def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray]) -> Text:
-    """Clauses and their features. talk: (hashes, log odds) of words of remarks; ends: (keys, log odds) of word pairs that end sentences."""
+def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], declines: tuple[np.ndarray, np.ndarray] = _NO_TABLE) -> Text:
+    """Clauses and their features. talk, declines: (hashes, log odds) of words of remarks and of refusals; ends: (keys, log odds) of word pairs that end sentences."""
     lex = _lexicon()
     n_rows = len(rew)
     cps, starts = K.code_points(rew)
@@ -203,6 +207,7 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
     pairs = closing - marks[np.maximum(s[cl] - 1, 0)] >= 2 if nc else np.zeros(0, bool)
     quoted &= pairs[cw] if nc else False
     x = np.zeros((nc, len(NAMES)))
+    declined = np.zeros(nc)
     x[:, 0] = 1
     if nc:
         sz = np.maximum(size, 1)
@@ -248,6 +253,9 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
             i = np.minimum(np.searchsorted(talk[0], h), len(talk[0]) - 1)
             odds = np.where((talk[0][i] == h) & ~quoted, talk[1][i], 0.0)
             x[:, 17] = np.clip(add(odds) / np.sqrt(sz), -4, 4)
+        if len(declines[0]):
+            i = np.minimum(np.searchsorted(declines[0], h), len(declines[0]) - 1)
+            declined = add(np.where((declines[0][i] == h) & ~quoted, declines[1][i], 0.0)) / np.sqrt(sz)
         commas = np.concatenate([[0], np.cumsum(cps == 44)])
         x[:, 18] = open_end & _in(h[cl], lex["openers"]) & (commas[e[last_word]] == commas[s[cl]])
         lead = np.where(s[cl] > 0, cps[np.maximum(s[cl] - 1, 0)], 0)
@@ -306,7 +314,7 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
         a, b = np.searchsorted(s, starts[r]), np.searchsorted(s, starts[r + 1])
         standin[r] = " ".join("".join(map(chr, low[i:j])) for i, j in zip(s[a:b], e[a:b])) in STANDINS
     stop_count = np.bincount(np.repeat(np.arange(n_rows), np.diff(starts))[np.flatnonzero(cut & (cps != 58))] if n else np.zeros(0, int), minlength=n_rows)
-    return Text(n_rows, first, own, weight, size, x, copied, alnum, standin, total_words, by_row(x[:, 7] * size) / np.maximum(total_words, 1) if nc else np.zeros(n_rows), stop_count)
+    return Text(n_rows, first, own, weight, size, x, copied, alnum, standin, total_words, by_row(x[:, 7] * size) / np.maximum(total_words, 1) if nc else np.zeros(n_rows), stop_count, declined)
 
 
 def _end_keys(cps: np.ndarray, s: np.ndarray, h: np.ndarray, cw: np.ndarray, cl: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -473,6 +481,52 @@ def _partial(t: Text, hint: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return allowed
 
 
+def _decline_counts(rew: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, rows, refusals) of each word: the rows it stands in, and those of them that are short and hold a cue of a refusal outside quotation marks.
+    The hash 0 stands for all rows."""
+    cps, starts = K.code_points(rew)
+    low, _ = _fold(cps)
+    s, e = K.runs((low > 0).astype(np.int64), starts)
+    if not len(s):
+        return np.zeros(1, np.uint64), np.array([len(rew)]), np.zeros(1, np.int64)
+    h, row = K.span_hash(K.prefix(low), s, e), K.owner(s, starts)
+    marks = np.bincount(K.owner(np.flatnonzero(np.isin(cps, [34, 0x201C, 0x201D])), starts), minlength=len(rew)) > 0
+    flag = np.bincount(row, weights=_phrase_hits(h, row, _lexicon()["refusal"], marks[row]), minlength=len(rew)) > 0
+    flag &= np.bincount(row, minlength=len(rew)) <= SHORT
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+    u, inv, n = np.unique(h[once], return_inverse=True, return_counts=True)
+    f = np.bincount(inv, weights=flag[row[once]]).astype(np.int64)
+    return np.append(u, np.uint64(0)), np.append(n, len(rew)), np.append(f, flag.sum())
+
+
+def _decline_odds(u: np.ndarray, n: np.ndarray, f: np.ndarray, rows: int, refusals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, log odds) of words of refusals from their counts."""
+    order = np.argsort(u)
+    u, n, f = u[order], n[order], f[order]
+    odds = np.log(((f + 0.5) / (refusals + 1)) / ((n - f + 0.5) / (rows - refusals + 1)))
+    return u, np.clip(odds, 0, 3)
+
+
+def decline_words(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log odds) of the words that stand in three short refusals or more, counted over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.chunks(batch.column("rew"), 1 << 19):
+                u, n, f = _decline_counts(batch.column("rew").slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n, pa.int64()), pa.array(f, pa.int64())], ["h", "n", "f"])
+
+    counts = pairs.where("rew is not null").select("rew").mapInArrow(run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    got = counts.where("f >= 3 or h = 0").toPandas()
+    u, n, f = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64), got["f"].to_numpy(np.int64)
+    if not (u != 0).any():
+        return _NO_TABLE
+    total, w = u == 0, u != 0
+    return _decline_odds(u[w], n[w], f[w], int(n[total][0]), int(f[total][0]))
+
+
 def _word_tables(src: pa.Array, rew: pa.Array, hint: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """(log odds of words in hinted remarks, log odds that a word pair ends a sentence) over the training sample."""
     ends: dict[str, list] = {"key": [], "end": []}
@@ -516,6 +570,7 @@ class Model:
     field: Field
     talk: tuple[np.ndarray, np.ndarray]
     ends: tuple[np.ndarray, np.ndarray]
+    declines: tuple[np.ndarray, np.ndarray] = _NO_TABLE
 
 
 def fit(pairs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -557,7 +612,7 @@ def fit(pairs: DataFrame, sample: int = SAMPLE) -> Model:
         rare = allowed[:, [REFUSAL, REMARK, FOREIGN]].any(1) & ~allowed[:, ANSWER]
         weight = 1.0 + 7.0 * (np.bincount(t.own[rare], minlength=t.rows)[keep] > 0)
         field.train(t.x[at], allowed[at], np.concatenate([[0], np.cumsum(n[keep])]), weight)
-    return Model(field, talk, ends)
+    return Model(field, talk, ends, decline_words(pairs))
 
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language", "commentary")
@@ -565,7 +620,7 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "language", "commentary")
 
 def judge(model: Model, src: pa.Array, rew: pa.Array) -> tuple[np.ndarray, Text, np.ndarray]:
     """(defect of each row as an index into DEFECTS or -1, the analysed texts, rows with template residue)."""
-    t = analyse(src, rew, model.talk, model.ends)
+    t = analyse(src, rew, model.talk, model.ends, model.declines)
     tags = model.field.decode(t)
     part = np.stack([np.bincount(t.own[tags == k], weights=t.weight[tags == k], minlength=t.rows) for k in range(len(STATES))], 1) if len(tags) else np.zeros((t.rows, len(STATES)))
     total = np.maximum(part.sum(1), 1)
@@ -577,6 +632,11 @@ def judge(model: Model, src: pa.Array, rew: pa.Array) -> tuple[np.ndarray, Text,
     out[(last == UNFINISHED) & has] = 1
     out[(part[:, REMARK] > 0) & (answer <= 0.4 * total)] = 5
     out[(part[:, REFUSAL] > 0) & ((answer <= 0.4 * total) | (answer < 60))] = 2
+    # a refusal without any listed cue: nearly all of a row is in the words of refusals, and no listed remark outweighs it
+    said = np.bincount(t.own, weights=t.weight * (t.declined >= DECLINED), minlength=t.rows)
+    noted = np.bincount(t.own, weights=t.x[:, 2], minlength=t.rows) > 0
+    open_ = np.where(noted, (out == -1) & (part[:, REMARK] <= 0.5 * total), (out == -1) | (out == 5))
+    out[open_ & (said >= 0.9 * total) & (total > 20)] = 2
     out[(part[:, FOREIGN] > 0) & (part[:, FOREIGN] >= 0.6 * (part[:, FOREIGN] + answer))] = 4
     out[t.copied >= COPIED] = 3
     out[(t.letters == 0) | t.standin] = 0

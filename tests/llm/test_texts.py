@@ -170,3 +170,16 @@ def test_positive_unlabelled_learning(spark):
     assert toxicity.scored(docs.limit(0), model).count() == 0
     empty = toxicity.fit(docs.limit(0), labels.limit(0))
     assert toxicity.scored(docs, empty).count() == len(rows)
+
+
+def test_refusal_in_other_words(spark):
+    """A refusal that holds none of the listed phrases is found by its words, and no sound row with it."""
+    src, rew, defect = _pairs(160)
+    for i in range(7, 160, 8):
+        rew[i] = f"Unfortunately, this request on Tarn{i} is outside what I can do." + (" My apologies, please try another passage." if i % 32 != 7 else "")
+        defect[i] = "refusal"
+    df = spark.createDataFrame([(i, s, r, d == "commentary" or None) for i, (s, r, d) in enumerate(zip(src, rew, defect))], "row_id long, src string, rew string, hint boolean")
+    got = {r.row_id: r.defect for r in responses.defects(df, responses.fit(df)).collect()}
+    bare = [i for i in range(160) if rew[i].endswith("outside what I can do.")]
+    assert len(bare) == 5 and all(got.get(i) == "refusal" for i in bare), [(i, got.get(i)) for i in bare]
+    assert not [i for i in range(160) if defect[i] is None and got.get(i) == "refusal"]

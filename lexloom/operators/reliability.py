@@ -105,7 +105,7 @@ def resampled(df: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
     return df.join(d, key).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_t", "times")
 
 
-def interval(df: DataFrame, value: str) -> DataFrame:
-    """One row: percentile interval of 95 %, and the shares of resamples above and below 0."""
+def interval(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """One row, or one of each group of `by`: percentile interval of 95 %, and the shares of resamples above and below 0."""
     p = lambda q: F.percentile(F.col(value), q)
-    return df.where(F.col(value).isNotNull()).agg(F.count("*").alias("rounds"), p(0.025).alias("low"), p(0.975).alias("high"), F.avg((F.col(value) > 0).cast("double")).alias("above"), F.avg((F.col(value) < 0).cast("double")).alias("below"))
+    return df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.count("*").alias("rounds"), p(0.025).alias("low"), p(0.975).alias("high"), F.avg((F.col(value) > 0).cast("double")).alias("above"), F.avg((F.col(value) < 0).cast("double")).alias("below"))

@@ -15,6 +15,7 @@ from lexloom.plans.reports import _long
 from lexloom.plans.statistics import _LENS, _LONG, _corr, _gaps, q_rank, rnd
 
 ROUNDS = 40
+ICC_ROUNDS = 2000
 _JDIMS = ("difficulty", "faithfulness", "terminology", "fluency")
 
 
@@ -105,11 +106,11 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return L.interval(r, "rho").select("rounds", rnd("low"), rnd("high"), rnd("above"), rnd("below"))
 
 
-def icc_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Percentile interval of the average-measures correlation of overall scores over resamples of items."""
-    m = REL.rater_matrix(spark, d).where("dim = 'overall'").select("item_id", "r1", "r2", "r3")
-    i = L.icc(L.resampled(m, "item_id", ROUNDS, C.BOOTSTRAP_SEED), ["b"])
-    return L.interval(i, "icc3k").select("rounds", rnd("low"), rnd("high"), rnd("above"), rnd("below"))
+def icc_bootstrap(spark: SparkSession, d: str, rounds: int = ICC_ROUNDS) -> DataFrame:
+    """Percentile interval of the average-measures correlation of each dimension over resamples of items."""
+    m = REL.rater_matrix(spark, d).select("item_id", "dim", "r1", "r2", "r3")
+    i = L.icc(L.resampled(m, "item_id", rounds, C.BOOTSTRAP_SEED), ["dim", "b"])
+    return L.interval(i, "icc3k", ["dim"]).select("dim", "rounds", rnd("low"), rnd("high"), rnd("above"), rnd("below"))
 
 
 def gap_bootstrap(spark: SparkSession, d: str) -> DataFrame:

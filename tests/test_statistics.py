@@ -81,3 +81,11 @@ def test_partial_correlation_closed_form(spark):
 def test_smoothed_bleu():
     assert 0 < smoothed_bleu([5, 0, 0, 0], [10, 9, 8, 7], 10, 10) < 1
     assert smoothed_bleu([10, 9, 8, 7], [10, 9, 8, 7], 10, 10) >= 1
+
+
+def test_icc_bootstrap_covers_all(spark, data):
+    from lexloom import config as C
+    from lexloom.plans.reliable import icc_bootstrap
+
+    got = {r.dim: r.rounds for r in icc_bootstrap(spark, data).collect()}
+    assert set(got) == set(C.DIMS) and all(1900 < n <= 2000 for n in got.values()), got

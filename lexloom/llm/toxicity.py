@@ -1,10 +1,15 @@
 """Abusive, hateful and sexual content (problem 9).
 
 Non-negative positive-unlabelled learning: a numpy classifier over word n-grams of short windows is
-trained from confirmed examples (documents that a reader marked, a fixed list of phrases) and unlabelled
-text with the class-prior-corrected risk estimator. A marked document is a bag of windows, so its telling
-windows are chosen anew in each round. Spelling is folded first: accents, look-alike letters, digits for
-letters, doubled letters, letters set apart, masked letters and invisible characters.
+trained from confirmed examples (windows of the documents that a reader marked) and from the unlabelled
+windows of all documents, with the class-prior-corrected risk estimator. A marked document is a bag of
+windows; its telling ones are those whose n-grams other marked documents hold and clean ones lack, so that
+a document that only its own words speak for confirms nothing. Spelling is folded first: accents,
+look-alike letters, digits for letters, doubled letters, letters set apart, masked letters and invisible
+characters.
+
+One pass over the texts keeps, of each document, the places of the telling n-grams; the risk, its gradient,
+the class prior and the scores are sums over those places.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 import pickle
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
+from lexloom.llm.components import cut
 from lexloom.llm.sampling import least_hashed
 
-MARKED = 4000  # labelled documents that the classifier is fitted on, half of them abusive at most, the least by hash of their key
-UNLABELLED = 3000  # other documents that it is fitted on, likewise
+MARKED = 2000  # documents marked as abusive that the classifier is fitted on, those of least hash of their key; all where there are fewer
+CLEAN = 6000  # documents marked as clean that it is fitted on, likewise
 WINDOW = 8  # words of a window
-PRIOR = 0.01  # share of telling windows that the risk estimator assumes
+SEEN = 3  # labelled documents that must hold a word for it to be a feature of its own
+DOUBT = 1.0  # documents' worth of prior belief that a word n-gram tells nothing
+TELLING = 0.5  # log odds from which an n-gram of a confirmed window is a feature
+TYPICAL = 0.98  # share of the clean documents that have no window as telling as a confirmed one must be
 BACK = 0.3  # weight of the step back where the estimated negative risk would fall below zero
-FOLDS = 4
-TYPICAL = 0.93  # share of clean texts that a marked text must outdo to count as borne out
-NEUTRAL = -1.0  # least such score in any case; a text of few words scores near the bias, about -2
-THRESHOLDS = (0.3, 1.0)  # range of the threshold; marks are partly wrong, and few where the corpus is small
-BITS = 18  # hash space of the features
-STEPS = 70
+STEPS = 30
+RATE = 0.4
+CHUNK = 1 << 16  # characters that are folded at once; small arrays stay in the processor's cache
 
 STAR, NUMBER, UNKNOWN = 127, 1, 2
 
@@ -41,22 +47,6 @@ LOOKALIKES = {"а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m",
 # Digits and signs that stand for letters within a word.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"}
 
-# Abusive, hateful and sexually explicit phrases of several languages, as confirmed examples.
-CONFIRMED = """
-you are an idiot|you stupid idiot|you moron|what a moron|absolute moron|you dimwit|you dumbass|you asshole|you bastard|you son of a bitch|you bitch|you scumbag|worthless maggot|pathetic loser|filthy liar|brainless clown|piece of trash|piece of shit|you prick|you dickhead|you cunt|you wanker|you slut|you whore|you are too dumb|you are disgusting|you disgust me|so stupid|fat ugly
-shut your mouth|shut up you|shut the fuck up|go to hell|screw you|fuck you|fuck off|what the fuck|eat shit|drop dead|kill yourself|rot in hell|rot in a ditch|i hope you die|i hope you choke|nobody wants you|nobody would miss you|crawl back under|i will kill you|i will break your legs|i will make your life miserable|i know where you live|stop breathing|should never have been born|writes bullshit|such crap|bloody fool|your mother is a|makes me want to throw up
-they are vermin|all of them are vermin|they are subhuman|they are animals|they breed like rats|parasites belong in the gutter|are a disease|such filth|dirty inferior race|born criminals|thieves by blood|go back where they came from|back where they came from|ship them off|round them up|drive them out|burn their houses|hang a few of them|the only good ones are dead|lock them all up|cleanse the town of them|have no place among civilised people|do not deserve rights|never trust them
-hardcore porn|uncensored porn|porn video|xxx clips|nude cams|naked pictures|sex tape|sex clips|adult singles|horny singles|want sex now|get laid tonight|slutty wives|hookup tonight|wet pussy|hard cock|cock in her mouth|his cock|her pussy|bare breasts|her nipples|her naked body|naked and moaning|take her naked|between her thighs|full orgasm|anal threesome|fetish clips|blowjob|gangbang|milf|cumshot|explicit sex|stripping live|rough sex|grinding against|unzipped his trousers|pulled off her dress|begged her lover
-halt die fresse|halt die klappe|halts maul|du arschloch|dreckiges arschloch|du vollidiot|verrecke doch|du hurensohn|du schlampe|stück scheiße|widerliches stück|sind ungeziefer|gehören vertrieben|sind untermenschen|ausländer raus|leck mich am arsch|verpiss dich|fick dich
-ferme ta gueule|va crever|pauvre merde|sale con|espèce d'ordure|sale pute|fils de pute|va te faire foutre|nique ta mère|un déchet|sont de la vermine|sale race|rentrez chez vous|gros connard|salope
-hijo de puta|inútil asqueroso|pedazo de mierda|cállate imbécil|ojalá te mueras|vete a la mierda|son basura|hay que echarlos|puta madre|cabrón de mierda|maldito cerdo|que te jodan|muérete
-pezzo di merda|figlio di puttana|vaffanculo|stai zitto idiota|sei uno stronzo|brutto stronzo|sono parassiti|sono feccia|crepa bastardo|sporca puttana|testa di cazzo|va a morire
-filho da puta|vai tomar no cu|seu merda|cala a boca idiota|vai se foder|são vermes
-сука блядь|пошёл на хуй|иди на хуй|заткнись урод|ты идиот|ты тупой|сдохни тварь|грязные свиньи|они паразиты|ебаный|шлюха
-操你妈|你这个白痴|去死吧|滚回去|他们是害虫|傻逼|贱人|婊子|色情视频
-"""
-
-
 def _letters() -> np.ndarray:
     """Fold table: letters as code points of their base letter, digits, signs that may stand for letters, 0 for separators, 255 << 8 for what vanishes."""
     t = np.zeros(1 << 16, np.uint16)
@@ -77,7 +67,7 @@ def _letters() -> np.ndarray:
             t[c] = 48 + unicodedata.digit(ch)
     for ch in "$@":
         t[ord(ch)] = ord(ch)
-    for ch in "*_":
+    for ch in "*_#":
         t[ord(ch)] = STAR
     return t
 
@@ -95,50 +85,73 @@ def _table() -> np.ndarray:
     return _cache["fold"]
 
 
-def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, row of each word, break before each word) of the folded texts; numbers are one class."""
+def _far(cps: np.ndarray) -> np.ndarray:
+    """Folded values of code points beyond the table: styled letters as the letters they style, other letters as wide ones."""
+    u, inv = np.unique(cps, return_inverse=True)
+    out = np.zeros(len(u), np.uint16)
+    for i, c in enumerate(u.tolist()):
+        base = unicodedata.normalize("NFKD", chr(c))[0]
+        if ord(base) < 1 << 16:
+            out[i] = _cache["fold"][ord(base)]
+        elif unicodedata.category(base)[0] == "L":
+            out[i] = 0x4E00 + c % 0x5000
+    return out[inv]
+
+
+_NOTHING = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))
+
+
+def words(col: pa.Array, masked: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, row, break before it) of each word of the folded texts; numbers are one class.
+
+    With `masked` also the key that a masked spelling of the word has, 0 for words that are not masked.
+    """
     table = _table()
     cps, starts = K.code_points(col)
     rows = len(starts) - 1
-    f = table[cps] if cps.dtype == np.uint8 else np.where(cps < 1 << 16, table[np.minimum(cps, 0xFFFF)], 0).astype(np.uint16)
-    stop = (cps == 10) | (cps == 46) | (cps == 33) | (cps == 63) | (cps == 0x3002)
-    own = np.repeat(np.arange(rows), np.diff(starts)).astype(np.int32)
-    keep = f != 0xFF00
-    if not keep.all():
-        f, own, stop = f[keep], own[keep], stop[keep]
+    if cps.dtype == np.uint8:
+        f = table[cps]
+    else:
+        f = table[np.minimum(cps, 0xFFFF)]
+        far = np.flatnonzero(cps > 0xFFFF)
+        if len(far):
+            f[far] = _far(cps[far])
+    stop = (cps == 10) | (cps == 46) | (cps == 33) | (cps == 63)
+    if cps.dtype != np.uint8:
+        stop |= cps == 0x3002
+    own = np.repeat(np.arange(rows, dtype=np.int32), np.diff(starts))
+    gone = f == 0xFF00
+    if gone.any():
+        f, own, stop = f[~gone], own[~gone], stop[~gone]
+    nothing = _NOTHING if masked else _NOTHING[:3]
     if not len(f):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return nothing
 
     def bounds(f: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wide = (f >= 0x2E80) & (f < 0xFF00)
-        kind = (f > 0).astype(np.int64)
-        if wide.any():
-            kind = np.where(wide, 2 + (np.arange(len(f)) & 1), kind)
+        kind = f > 0
+        if len(f) and f.max() >= 0x2E80:  # each character of a script without spaces is a word
+            kind = np.where((f >= 0x2E80) & (f < 0xFF00), 2 + (np.arange(len(f)) & 1), kind)
         new = np.append(True, (kind[1:] != kind[:-1]) | (own[1:] != own[:-1]))
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(f))
         k = kind[s] > 0
         return s[k], e[k]
 
+    s, e = bounds(f, own)
     # stars, underlines and signs count only inside words
-    odd = (f == STAR) | (f == 36) | (f == 64)
-    if odd.any():
+    odd = np.flatnonzero((f == STAR) | (f == 36) | (f == 64))
+    if len(odd):
+        plain = np.concatenate([[0], np.cumsum((f > 57) & (f != STAR) & (f != 64), dtype=np.int32)])
+        word = np.searchsorted(s, odd, side="right") - 1
+        f[odd[plain[e[word]] == plain[s[word]]]] = 0
         s, e = bounds(f, own)
-        plain = np.concatenate([[0], np.cumsum(~odd & (f > 57))])
-        dead = np.repeat(plain[e] == plain[s], e - s)
-        at = np.repeat(s - np.concatenate([[0], np.cumsum(e - s)[:-1]]), e - s) + np.arange(int((e - s).sum()))
-        f = f.copy()
-        f[at[dead & odd[at]]] = 0
-        first, last = f[s] == STAR, f[e - 1] == STAR
         for _ in range(4):  # stars at the edges are marks of emphasis
+            first, last = f[s] == STAR, f[e - 1] == STAR
             f[s[first]] = 0
             f[e[last] - 1] = 0
             s, e = s + first, e - last
-            ok = e > s
-            s, e = s[ok], e[ok]
-            first, last = f[s] == STAR, f[e - 1] == STAR
+            s, e = s[e > s], e[e > s]
     # letters set apart: three or more single letters with one separator between them become a word
-    s, e = bounds(f, own)
     if len(s) > 2:
         single = (e - s == 1) & (f[s] > 57) & (f[s] < 0x2E80)
         link = single[1:] & single[:-1] & (s[1:] - e[:-1] == 1) & (own[s[1:]] == own[s[:-1]])
@@ -146,254 +159,348 @@ def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         two[1:] |= link[1:] & link[:-1]
         two[:-1] |= link[1:] & link[:-1]
         gone = e[:-1][link & two]
-        keep = np.ones(len(f), bool)
-        keep[gone] = False
         if len(gone):
-            stop_at = np.flatnonzero(stop & ~keep)
-            stop = stop.copy()
-            stop[stop_at] = False
+            keep = np.ones(len(f), bool)
+            keep[gone] = False
             f, own, stop = f[keep], own[keep], stop[keep]
             s, e = bounds(f, own)
     if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    # digits within words stand for letters
-    cum = np.concatenate([[0], np.cumsum((f > 57) & (f != 64))])
-    sign = np.concatenate([[0], np.cumsum((f == 36) | (f == 64))])
-    lettered = (cum[e] > cum[s]) | ((sign[e] > sign[s]) & (e - s > 1))
-    inside = np.zeros(len(f) + 1, np.int64)
-    np.add.at(inside, s[lettered], 1)
-    np.add.at(inside, e[lettered], -1)
-    f = np.where(np.cumsum(inside)[:-1] > 0, _cache["leet"][f], f)
+        return nothing
+    # digits and signs within words stand for letters
+    lettered = np.ones(len(s), bool)
+    low = np.flatnonzero((f > 0) & ((f < 58) | (f == 64)))
+    if len(low):
+        word = np.searchsorted(s, low, side="right") - 1
+        sign = np.bincount(word[(f[low] == 36) | (f[low] == 64)], minlength=len(s)) > 0
+        lettered = (np.bincount(word, minlength=len(s)) < e - s) | (sign & (e - s > 1))
+        change = low[lettered[word]]
+        f[change] = _cache["leet"][f[change]]
     # doubled letters count once
-    keep = np.append(True, (f[1:] != f[:-1]) | (own[1:] != own[:-1]) | (f[1:] == 0) | (f[1:] < 58))
-    new_pos = np.cumsum(keep) - 1
-    s2 = new_pos[s]
-    e2 = new_pos[e - 1] + 1
+    keep = np.append(True, (f[1:] != f[:-1]) | (own[1:] != own[:-1]) | (f[1:] < 58))
+    at = np.cumsum(keep, dtype=np.int32) - 1
+    s2, e2 = at[s].astype(np.int64), at[e - 1].astype(np.int64) + 1
     f2 = f[keep]
-    h = K.span_hash(K.prefix(f2.astype(np.uint32)), s2, e2)
-    masked = np.concatenate([[0], np.cumsum(f2 == STAR)])
-    masked = masked[e2] > masked[s2]
-    h = np.where(lettered, h, np.uint64(NUMBER))
-    # a masked word is known by its first and last letter
-    h = np.where(masked & lettered, K.mix(f2[s2].astype(np.uint64) * np.uint64(131) + f2[e2 - 1].astype(np.uint64) + np.uint64(1 << 40)), h)
-    stops = np.concatenate([[0], np.cumsum(stop)])
-    brk = np.append(True, (stops[s[1:]] > stops[e[:-1]]) | (own[s[1:]] != own[s[:-1]]))
-    return h, own[s].astype(np.int64), brk
-
-
-def mask_key(word: str) -> np.uint64:
-    """The key that `words` gives a masked spelling of a folded word."""
-    return K.mix(np.array([ord(word[0]) * 131 + ord(word[-1]) + (1 << 40)], np.uint64))[0]
-
-
-def _confirmed() -> list[str]:
-    return [p for line in CONFIRMED.strip().split("\n") for p in line.split("|") if p.strip()]
+    h = np.where(lettered, K.span_hash(K.prefix(f2.astype(np.uint8 if f2.max() < 256 else np.uint32)), s2, e2), np.uint64(NUMBER))
+    key = None
+    star = np.flatnonzero(f2 == STAR)
+    if len(star) or masked:
+        key = K.mix(f2[s2].astype(np.uint64) * np.uint64(131) + f2[e2 - 1].astype(np.uint64) + np.uint64(1 << 40))
+    if len(star):  # a masked word is known by its first and last letter
+        word = np.searchsorted(s2, star, side="right") - 1
+        word = word[(star < e2[word]) & lettered[word]]
+        h[word] = key[word]
+    stops = np.concatenate([[0], np.cumsum(stop, dtype=np.int32)])
+    row = own[s].astype(np.int64)
+    brk = np.append(True, (stops[s[1:]] > stops[e[:-1]]) | (row[1:] != row[:-1]))
+    if not masked:
+        return h, row, brk
+    plain = lettered & (e2 - s2 > 2) & (f2[s2] < 128) & (f2[e2 - 1] < 128)
+    return h, row, brk, np.where(plain, key, np.uint64(0))
 
 
 @dataclass
-class Classifier:
+class Telling:
+    """What the labelled documents tell: known words, masked spellings, telling n-grams and the confirmed windows."""
+
     vocabulary: np.ndarray  # sorted hashes of the words that are features; all others are one class
-    weight: np.ndarray
-    bias: float
-    threshold: float
-    masks: tuple[np.ndarray, np.ndarray]  # keys of masked words, and the word each is read as
+    features: np.ndarray  # sorted hashes of the telling n-grams
+    odds: np.ndarray  # log odds of each among marked against clean documents
+    windows: list[np.ndarray]  # telling n-grams (as indices) of each confirmed window
+    masks: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))  # keys of masked words, and the word each is read as
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         if len(self.masks[0]):
             i = np.minimum(np.searchsorted(self.masks[0], h), len(self.masks[0]) - 1)
             h = np.where(self.masks[0][i] == h, self.masks[1][i], h)
-        if not len(self.vocabulary):
-            return np.full(len(h), UNKNOWN, np.uint64)
-        i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where((self.vocabulary[i] == h) | (h == NUMBER), h, np.uint64(UNKNOWN))
-
-    def scores(self, col: pa.Array) -> np.ndarray:
-        """Score of each text: that of its most telling window; -30 without words."""
-        out = np.full(len(col), -30.0)
-        for a, b in K.chunks(col):
+        return np.where(_in(h, self.vocabulary) | (h == NUMBER), h, np.uint64(UNKNOWN))
+
+    def places(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, n-gram) of each telling n-gram of the texts, in order, and the number of words of each text."""
+        rows, at, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        size = np.zeros(len(col), np.int64)
+        for a, b in K.chunks(col, CHUNK):
             h, row, brk = words(col.slice(a, b - a))
             if not len(h):
                 continue
-            t = self.tokens(h)
-            f = _features(t, brk)
-            unit = self.weight[f[0]] + self.weight[f[1]] + self.weight[f[2]]
-            best = np.full(b - a, -30.0)
             first = np.searchsorted(row, np.arange(b - a + 1))
-            size = np.diff(first)
-            cum = np.concatenate([[0.0], np.cumsum(unit)])
-            for w in (WINDOW // 2, WINDOW, 2 * WINDOW):
-                end = np.minimum(np.arange(len(h)) + w, first[row + 1])
-                s = cum[end] - cum[:-1]
-                rows = np.flatnonzero(size > 0)
-                best[rows] = np.maximum(best[rows], np.maximum.reduceat(s, first[rows]))
-            out[a:b] = best + self.bias
-        return out
-
-
-def _features(t: np.ndarray, brk: np.ndarray) -> np.ndarray:
-    """Hash buckets of the word, the pair and the triple that end at each word; breaks cut the history."""
-    m = np.uint64((1 << BITS) - 1)
+            size[a:b] = np.diff(first)
+            if not len(self.features):
+                continue
+            place, kind = np.nonzero(_in(f := _grams(self.tokens(h), brk), self.features))
+            rows.append(row[place] + a)
+            at.append(place - first[row[place]])
+            gram.append(np.searchsorted(self.features, f[place, kind]))
+        return np.concatenate(rows), np.concatenate(at), np.concatenate(gram), size
+
+
+def _in(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(h.shape, bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
+
+
+def _grams(t: np.ndarray, brk: np.ndarray) -> np.ndarray:
+    """Hashes of the word, the pair and the triple that end at each word; breaks cut the history."""
     p1 = np.where(brk, np.uint64(7), np.concatenate([t[:1], t[:-1]]))
     b2 = brk | np.append(True, brk[:-1])
     p2 = np.where(b2, np.uint64(7), np.concatenate([t[:1], t[:1], t[:-2]])[: len(t)])
-    one = K.mix(t * np.uint64(3)) & m
-    two = K.mix(t ^ K.mix(p1 + np.uint64(101))) & m
-    three = K.mix(t ^ K.mix(p1 + np.uint64(202)) ^ K.mix(K.mix(p2 + np.uint64(303)))) & m
-    return np.stack([one, two, three]).astype(np.int64)
+    before = K.mix(p1 + np.uint64(101))
+    return np.stack([K.mix(t * np.uint64(3)), K.mix(t ^ before), K.mix(t ^ K.mix(before ^ K.mix(p2 + np.uint64(303))))], 1)
 
 
-class _Bag:
-    """Windows of a set of texts: features (windows x 3*WINDOW, -1 where a window is shorter) and text of each."""
+def _per_document(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Each distinct value of each row once."""
+    key = h ^ K.mix(row.astype(np.uint64) + np.uint64(5)).reshape(-1, *[1] * (h.ndim - 1))
+    return h.ravel()[np.unique(key, return_index=True)[1]]
 
-    def __init__(self, texts: list[str], model: Classifier, stride: int = WINDOW // 2):
-        feats, text = [np.zeros((0, 3 * WINDOW), np.int64)], [np.zeros(0, np.int64)]
-        col = pa.array(texts, pa.large_string())
-        for a, b in K.chunks(col):
-            h, row, brk = words(col.slice(a, b - a))
-            if not len(h):
-                continue
-            f = _features(model.tokens(h), brk)
-            first = np.searchsorted(row, np.arange(b - a + 1))
-            begin = [np.arange(i, max(i + 1, j - WINDOW // 2), stride) for i, j in zip(first, first[1:]) if j > i]
-            # each sentence is a window, too, as marked sentences may be short
-            begin = np.unique(np.concatenate([*begin, np.flatnonzero(brk)]))
-            end = np.minimum(begin + WINDOW, first[row[begin] + 1])
-            at = begin[:, None] + np.arange(WINDOW)[None]
-            ok = at < end[:, None]
-            at = np.minimum(at, len(h) - 1)
-            feats.append(np.concatenate([np.where(ok, f[k][at], -1) for k in range(3)], 1))
-            text.append(row[begin] + a)
-        self.f, self.text = np.concatenate(feats), np.concatenate(text)
-
-    def margin(self, w: np.ndarray, bias: float) -> np.ndarray:
-        return np.append(w, 0.0)[self.f].sum(1) + bias
-
-
-def _train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights of minimal non-negative positive-unlabelled risk with the logistic loss, by Adam."""
-    n = 1 << BITS
-    pos, unl = np.where(pos < 0, n, pos), np.where(unl < 0, n, unl)
-    w, b = np.zeros(n + 1), -2.0
-    m1, m2 = np.zeros(n + 1), np.zeros(n + 1)
-    mb1 = mb2 = 0.0
-    for step in range(1, steps + 1):
-        zp, zu = w[pos].sum(1) + b, w[unl].sum(1) + b
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if risk >= 0:
-            gp = prior * ((sp - 1) - sp) / len(pos)  # loss as positive, less the loss as negative
-            gu = su / len(unl)
-        else:  # the estimate of the negative risk must not fall below zero: it steps back while the positive risk still falls
-            gp = prior * ((sp - 1) + BACK * sp) / len(pos)
-            gu = -BACK * su * (zu > 0) / len(unl)  # for the unlabelled windows that look telling; doubtful ones are not lifted
-        g = np.bincount(pos.ravel(), np.repeat(gp, pos.shape[1]), n + 1) + np.bincount(unl.ravel(), np.repeat(gu, unl.shape[1]), n + 1)
-        g = g * 100 + 2e-4 * w
-        g[n] = 0
-        gb = (gp.sum() + gu.sum()) * 100
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**step, 1 - 0.99**step
-        w -= 0.12 * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-6)
-        w[n] = 0
-        b -= 0.05 * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-6)
-    return w[:n], b
-
-
-def learn(marked: list[str], clean: list[str], unlabelled: list[str], rounds: int = 2) -> Classifier:
-    """Classifier from texts marked as abusive, texts marked as clean (for the threshold only) and unlabelled texts."""
-    seeds = _confirmed()
-    corpus = pa.array(unlabelled + marked, pa.large_string())
-    seen: list[np.ndarray] = []
-    for a, b in K.chunks(corpus):
-        h, row, _ = words(corpus.slice(a, b - a))
-        seen.append(h[np.unique(h ^ K.mix(row.astype(np.uint64) + np.uint64(5)), return_index=True)[1]])
-    u, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-    sh, _, _ = words(pa.array(seeds, pa.large_string()))
-    vocabulary = np.unique(np.concatenate([u[n >= 3], sh]))
-    # masked spellings are read as the confirmed word with the same first and last letter, if that is one word
-    letters = {}
-    for word in sorted({x for p in seeds for x in p.split() if x.isascii() and x.isalpha() and len(x) > 2}):
-        w, _, _ = words(pa.array([word], pa.large_string()))
-        i = int(np.searchsorted(u, w[0]))
-        if i == len(u) or u[i] != w[0] or n[i] <= 0.05 * max(len(unlabelled), 1):  # everyday words are not masked
-            letters.setdefault(int(mask_key(word)), []).append(w[0])
-    keys = np.array(sorted(letters), np.uint64)
-    model = Classifier(vocabulary, np.zeros(1 << BITS), 0.0, 0.0, (keys, np.array([letters[int(k)][0] for k in keys], np.uint64)))
-    bag, pool, fixed = _Bag(marked, model), _Bag(unlabelled, model), _Bag(seeds, model, WINDOW)
-    if not len(pool.f):
-        pool = fixed
-    # a first guess at the telling windows: those whose n-grams the unlabelled text lacks
-    count = np.bincount(pool.f[pool.f >= 0].ravel(), minlength=1 << BITS)
-    rare = np.append(1.0 / (1.0 + count), 0.0)
-    guess = np.append(np.bincount(fixed.f[fixed.f >= 0].ravel(), minlength=1 << BITS) > 0, False) * 3.0
-    score = (rare + guess * rare)[bag.f].sum(1)
-    chosen = np.zeros(len(bag.f), bool)
-    for _ in range(rounds):
-        if len(bag.f):
-            best = np.full(len(marked), -np.inf)
-            np.maximum.at(best, bag.text, score)
-            chosen = score >= best[bag.text] - 1e-9
-        model.weight, model.bias = _train(np.concatenate([bag.f[chosen], fixed.f]), pool.f, PRIOR, STEPS)
-        score = bag.margin(model.weight, model.bias)
-    model.threshold = THRESHOLDS[0]
-    if len(marked) >= FOLDS and len(clean) >= 20:
-        keep, model.threshold = _cross_check(model, bag, chosen, fixed, pool, marked, clean)
-        model.weight, model.bias = _train(np.concatenate([bag.f[chosen & keep[bag.text]], fixed.f]), pool.f, PRIOR, STEPS)
-    return model
-
-
-def _cross_check(model: Classifier, bag: _Bag, chosen: np.ndarray, fixed: _Bag, pool: _Bag, marked: list[str], clean: list[str]) -> tuple[np.ndarray, float]:
-    """(marked texts that models of the other folds rate above most clean texts, threshold of best F1 over the rest).
-
-    Marks are partly wrong: a text that only its own windows speak for is left out. No text is scored by a model that saw it.
+
+def _all_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, break, masked spelling) of the words of all texts."""
+    col = pa.array(texts, pa.large_string())
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))]
+    for a, b in K.chunks(col, CHUNK):
+        h, row, brk, mask = words(col.slice(a, b - a), masked=True)
+        parts.append((h, row + a, brk, mask))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def learn(marked: list[str], clean: list[str]) -> Telling:
+    """Telling n-grams and confirmed windows from texts marked as abusive and texts marked as clean; repeated texts count once.
+
+    The log odds of an n-gram leave out the document whose window they weigh. A window is confirmed where their
+    sum exceeds that of the most telling window of the share TYPICAL of the clean texts.
     """
-    pos, neg = np.zeros(len(marked)), np.zeros(len(clean))
-    for f in range(FOLDS):
-        w, b = _train(np.concatenate([bag.f[chosen & (bag.text % FOLDS != f)], fixed.f]), pool.f, PRIOR, STEPS)
-        fold = Classifier(model.vocabulary, w, b, 0.0, model.masks)
-        pos[f::FOLDS] = fold.scores(pa.array(marked[f::FOLDS], pa.large_string()))
-        neg[f::FOLDS] = fold.scores(pa.array(clean[f::FOLDS], pa.large_string()))
-    keep = pos > max(np.quantile(neg, TYPICAL), NEUTRAL)
-    p = pos[keep]
-    grid = np.arange(THRESHOLDS[0], THRESHOLDS[1] + 0.01, 0.1)
-    f1 = np.array([2 * (p > t).sum() / max((p > t).sum() + (neg > t).sum() + len(p), 1) for t in grid])
-    return keep, float(np.mean(grid[f1 >= f1.max() - 1e-9]))
-
-
-def fit(documents: DataFrame, labels: DataFrame) -> Classifier:
-    """Classifier from at most MARKED labelled and UNLABELLED other documents, those of least hash of doc_id."""
+    marked, clean = list(dict.fromkeys(marked)), list(dict.fromkeys(clean))
+    (hp, rp, bp, kp), (hn, rn, bn, _) = _all_words(marked), _all_words(clean)
+    u, n = np.unique(np.concatenate([_per_document(hp, rp), _per_document(hn, rn)]), return_counts=True)
+    none = Telling(u[n >= SEEN], np.zeros(0, np.uint64), np.zeros(0), [])
+    if not len(hp):
+        return none
+    fp, fn = _grams(none.tokens(hp), bp), _grams(none.tokens(hn), bn)
+    prior = len(marked) / (len(marked) + len(clean) + 1)
+    every = np.unique(np.concatenate([fp.ravel(), fn.ravel()]))
+    (up, m_), (un, c_) = (np.unique(_per_document(f, r), return_counts=True) for f, r in ((fp, rp), (fn, rn)))
+    m, c = np.zeros(len(every)), np.zeros(len(every))
+    m[np.searchsorted(every, up)], c[np.searchsorted(every, un)] = m_, c_
+    odds = lambda m, c: np.log((m + DOUBT * prior) / (c + DOUBT * (1 - prior))) - np.log(prior / (1 - prior))
+    ip, in_ = np.searchsorted(every, fp), np.searchsorted(every, fn)
+    score, end = _sums(odds(np.maximum(m[ip] - 1, 0), c[ip]).sum(1), rp)
+    usual, _ = _sums(odds(m[in_], np.maximum(c[in_] - 1, 0)).sum(1), rn)
+    most = np.full(len(clean), -np.inf)
+    np.maximum.at(most, rn, usual)
+    level = np.quantile(most[np.isfinite(most)], TYPICAL) if np.isfinite(most).any() else 0.0
+    chosen = np.flatnonzero(score > max(level, 0.0))
+    depth = np.zeros(len(hp) + 1, np.int64)
+    np.add.at(depth, chosen, 1)
+    np.add.at(depth, end[chosen], -1)
+    inside = np.cumsum(depth)[:-1] > 0
+    held = np.unique(fp[inside])
+    lift = odds(m, c)[np.searchsorted(every, held)]
+    features, lift = held[lift > TELLING], lift[lift > TELLING]
+    windows = []
+    for a, b in zip(chosen, end[chosen]):
+        g = fp[a:b].ravel()
+        windows.append(np.searchsorted(features, g[_in(g, features)]))
+    # masked spellings are read as the telling word with the same first and last letter, where that is one word
+    single = inside & _in(fp[:, 0], features) & (kp != 0)
+    pairs = np.unique(np.stack([kp[single], hp[single]]), axis=1)
+    keys, first, count = np.unique(pairs[0], return_index=True, return_counts=True)
+    masks = (keys[count == 1], pairs[1][first[count == 1]])
+    return Telling(none.vocabulary, features, lift, windows, masks)
+
+
+def _sums(w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the values of the window that begins at each word, its end)."""
+    end = np.minimum(np.arange(len(w)) + WINDOW, np.searchsorted(row, row, side="right"))
+    cum = np.concatenate([[0.0], np.cumsum(w)])
+    return cum[end] - cum[:-1], end
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Telling:
+    """What at most MARKED abusive and CLEAN clean labelled documents tell, those of least hash of doc_id."""
     marks = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.max("abusive").alias("abusive"))
-    mark = least_hashed(marks.where("abusive > 0"), "doc_id", MARKED // 2).unionByName(least_hashed(marks.where("abusive = 0"), "doc_id", MARKED // 2))
+    mark = least_hashed(marks.where("abusive > 0"), "doc_id", MARKED).unionByName(least_hashed(marks.where("abusive = 0"), "doc_id", CLEAN))
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = docs.join(F.broadcast(mark), "doc_id").orderBy("doc_id").toPandas()  # `mark` has at most MARKED rows
-    rest = least_hashed(docs, "doc_id", UNLABELLED + MARKED).join(F.broadcast(mark), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).toPandas()
-    return learn(got[got.abusive > 0].text.tolist(), got[got.abusive == 0].text.tolist(), rest.text.tolist())
+    got = docs.join(F.broadcast(mark), "doc_id").orderBy("doc_id").toPandas()  # `mark` has at most MARKED + CLEAN rows
+    return learn(got[got.abusive > 0].text.tolist(), got[got.abusive == 0].text.tolist())
 
 
-def scored(documents: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, source, score, abusive) of each document.
+_PLACES = "doc_id long, source string, n_words long, word array<int>, gram array<int>"
 
-    `score` lies in 0..1 and is 0 for null, empty and wordless texts; `abusive` says that it exceeds the
-    threshold. Rows of null doc_id are left out, repeated rows each count, other columns are ignored.
-    """
-    blob = pickle.dumps(model)
+
+def places(documents: DataFrame, told: Telling) -> DataFrame:
+    """(doc_id, source, n_words, word, gram) of each document: the places of its telling n-grams."""
+    blob = pickle.dumps(Telling(told.vocabulary, told.features, told.odds, [], told.masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = pickle.loads(blob)
-        m.weight = m.weight.astype(np.float64)
+        t = pickle.loads(blob)
         for batch in batches:
-            s = m.scores(K.as_array(batch.column("text")))
-            p = 1 / (1 + np.exp(-np.clip(s - m.threshold, -30, 30)))
-            p[s <= -29] = 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(p), pa.array(s > m.threshold)], ["doc_id", "source", "score", "abusive"])
+            row, at, gram, size = t.places(K.as_array(batch.column("text")))
+            off = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(x, pa.int32())) for x in (at, gram)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size), *lists], ["doc_id", "source", "n_words", "word", "gram"])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, score double, abusive boolean")
+    return rows.mapInArrow(run, _PLACES)
+
+
+def _windows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first and end place) of the window that begins at each word with a telling n-gram, and the n-grams of all places."""
+    col, grams = batch.column("word"), batch.column("gram")
+    at, gram = col.flatten().to_numpy(), grams.flatten().to_numpy()
+    size = np.diff(col.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    key = row.astype(np.int64) << 32 | at
+    begin, lo = np.unique(key, return_index=True)
+    return row[lo], lo, np.searchsorted(key, begin + WINDOW), gram
+
+
+def distinct_windows(found: DataFrame) -> DataFrame:
+    """(grams, n): the n-grams of each distinct window (as 32-bit numbers) and how often it stands in the documents; `grams` null counts all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, lo, hi, gram = _windows(batch)
+            raw = gram.astype("<i4").tobytes()
+            seen: dict[bytes | None, int] = {None: int(batch.column("n_words").to_numpy().sum())}
+            for a, b in zip((4 * lo).tolist(), (4 * hi).tolist()):
+                k = raw[a:b]
+                seen[k] = seen.get(k, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["grams", "n"])
+
+    return found.select("n_words", "word", "gram").mapInArrow(run, "grams binary, n long").groupBy("grams").agg(F.sum("n").alias("n"))
+
+
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams of all windows, bounds of each window, number of each)."""
+    col = batch.column("grams")
+    ind = np.frombuffer(b"".join(col.to_pylist()), "<i4")
+    size = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return ind, (size - size[0]) // 4, batch.column("n").to_numpy().astype(float)
+
+
+def _margins(w: np.ndarray, ind: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    cum = np.concatenate([[0.0], np.cumsum(w[ind])])
+    return cum[ptr[1:]] - cum[ptr[:-1]]
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def class_prior(told: Telling, windows: DataFrame, words_: int) -> float:
+    """Share of abusive windows: the least ratio of the unlabelled to the confirmed windows beyond a log odds, over all documents."""
+    size = [len(x) for x in told.windows]
+    mine = _margins(told.odds, np.concatenate(told.windows), np.concatenate([[0], np.cumsum(size)]))
+    levels = np.quantile(mine, [0.05, 0.1, 0.25, 0.5])
+    odds = told.odds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(levels))
+        for batch in batches:
+            ind, ptr, n = _unpack(batch)
+            z = _margins(odds, ind, ptr)
+            total += [(n * (z > x)).sum() for x in levels]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(levels))), pa.array(total)], ["i", "n"])
+
+    got = windows.mapInArrow(run, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    return float(min(max(r.n, 1.0) / words_ / max((mine > levels[r.i]).mean(), 1e-9) for r in got))
+
+
+@dataclass
+class Classifier:
+    told: Telling
+    weight: np.ndarray
+    bias: float
+
+    def places(self, found: DataFrame) -> DataFrame:
+        """(doc_id, source, margin) of the documents of `places`: that of the most telling window; null without words."""
+        w, bias = self.weight, self.bias
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, lo, hi, gram = _windows(batch)
+                cum = np.concatenate([[0.0], np.cumsum(w[gram])])
+                best = np.zeros(batch.num_rows)
+                np.maximum.at(best, row, cum[hi] - cum[lo])
+                none = batch.column("n_words").to_numpy() == 0
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(best + bias, mask=none)], ["doc_id", "source", "margin"])
+
+        return found.mapInArrow(run, "doc_id long, source string, margin double")
+
+
+def train(told: Telling, found: DataFrame, steps: int = STEPS) -> Classifier:
+    """Weights of minimal non-negative positive-unlabelled risk with the logistic loss, by Adam, over the windows of all documents.
+
+    Each step is one sum over the distinct windows. Words without a telling n-gram begin windows whose margin is
+    the bias; they enter as a number.
+    """
+    k = len(told.features)
+    w, bias = np.zeros(k), -4.0
+    counted = cut(distinct_windows(found)) if told.windows else None
+    total = counted.where("grams is null").agg(F.sum("n")).first()[0] if told.windows else 0
+    if not total:
+        return Classifier(told, w, bias)
+    windows = counted.where("grams is not null")
+    prior = class_prior(told, windows, total)
+    pind, psize = np.concatenate(told.windows), np.array([len(x) for x in told.windows])
+    pptr = np.concatenate([[0], np.cumsum(psize)])
+    m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
+    for step in range(1, steps + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w, bias: float = bias) -> Iterator[pa.RecordBatch]:
+            # gradient over the features, then of the bias, the risk and the number of windows; beside it the part of telling windows
+            g, telling = np.zeros(k + 3), np.zeros(k + 3)
+            for batch in batches:
+                ind, ptr, n = _unpack(batch)
+                z = _margins(w, ind, ptr) + bias
+                s = n * _sigmoid(z)
+                size = np.diff(ptr)
+                g[:k] += np.bincount(ind, np.repeat(s, size), k)
+                telling[:k] += np.bincount(ind, np.repeat(s * (z > 0), size), k)
+                g[k:] += [s.sum(), (n * np.logaddexp(0, z)).sum(), n.sum()]
+                telling[k] += (s * (z > 0)).sum()
+            i = np.flatnonzero(g)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(g[i]), pa.array(telling[i])], ["i", "g", "t"])
+
+        got = windows.mapInArrow(run, "i long, g double, t double").groupBy("i").agg(F.sum("g").alias("g"), F.sum("t").alias("t")).toPandas()
+        g, telling = np.zeros(k + 3), np.zeros(k + 3)
+        g[got["i"]], telling[got["i"]] = got["g"], got["t"]
+        rest = total - g[k + 2]
+        zp = _margins(w, pind, pptr) + bias
+        sp = _sigmoid(zp)
+        risk = (g[k + 1] + rest * np.logaddexp(0, bias)) / total - prior * np.logaddexp(0, zp).mean()
+        if risk >= 0:
+            gp, gu = prior * ((sp - 1) - sp) / len(sp), g[: k + 1] / total  # loss as positive, less the loss as negative
+            gu[k] += rest * _sigmoid(bias) / total
+        else:  # the estimate of the negative risk must not fall below zero: it steps back while the positive risk still falls
+            gp, gu = prior * ((sp - 1) + BACK * sp) / len(sp), -BACK * telling[: k + 1] / total  # for the telling windows; doubtful ones are not lifted
+        grad = gu.copy()
+        grad[:k] += np.bincount(pind, np.repeat(gp, psize), k)
+        grad[k] += gp.sum()
+        grad /= prior
+        grad[:k] += 1e-3 * w
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
+        move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+        w, bias = w - move[:k], bias - move[k] / 2
+    return Classifier(told, w, bias)
+
+
+def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, score, abusive) of each document.
+
+    `score` is the estimated probability that the document's most telling window is abusive, 0 for null, empty
+    and wordless texts; `abusive` says that it exceeds one half. Without any marked document nothing is abusive.
+    Rows of null doc_id are left out, repeated rows each count, other columns are ignored.
+    """
+    told = fit(documents, labels)
+    found = cut(places(documents, told))
+    margins = train(told, found).places(found)
+    return margins.select("doc_id", "source", F.coalesce(1 / (1 + F.exp(-F.col("margin"))), F.lit(0.0)).alias("score"), F.coalesce(F.col("margin") > 0, F.lit(False)).alias("abusive"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/doc_labels.parquet")))
+    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/doc_labels.parquet"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

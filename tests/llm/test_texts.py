@@ -139,10 +139,11 @@ def test_reading_of_small_tables(spark):
 
 def test_spelling_folds():
     base = toxicity.words(pa.array(["you scumbag and naked moron"]))[0].tolist()
-    for t in ("y0u $cumb4g and nak3d m0ron", "yoou scumbag and nakedd moroon", "you s.c.u.m.b.a.g and naked m-o-r-o-n", "you s c u m b a g and naked moron", "yоu scumbаg and nаked mоron", "you scum​bag and nákéd moron", "You SCUMBAG, and naked: moron!"):
+    for t in ("y0u $cumb4g and nak3d m0ron", "yoou scumbag and nakedd moroon", "you s.c.u.m.b.a.g and naked m-o-r-o-n", "you s c u m b a g and naked moron", "yоu scumbаg and nаked mоron", "you scum​bag and nákéd moron", "You SCUMBAG, and naked: moron!", "𝐲𝐨𝐮 𝐬𝐜𝐮𝐦𝐛𝐚𝐠 and naked moron"):
         assert toxicity.words(pa.array([t]))[0].tolist() == base, t
-    h = toxicity.words(pa.array(["n***d s_x **bold** snake_case 123 a"]))[0]
-    assert h[0] == toxicity.mask_key("naked") and h[1] == toxicity.mask_key("sex") and h[-2] == toxicity.NUMBER
+    keys = toxicity.words(pa.array(["naked sex an"]), masked=True)[3]
+    h = toxicity.words(pa.array(["n***d s_x **bold** snake_case 123 n###d a"]))[0]
+    assert h[0] == h[-2] == keys[0] and h[1] == keys[1] and keys[2] == 0 and h[-3] == toxicity.NUMBER
 
 
 def test_positive_unlabelled_learning(spark):
@@ -161,15 +162,34 @@ def test_positive_unlabelled_learning(spark):
     rows += [(800, None, None), (801, "", "a"), (802, "The word zorbag is discussed in report 5 of the claim.", "a"), (803, clean() * 300, "a")]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, source string, score double")
     labels = spark.createDataFrame([(i, int(i in truth)) for i in range(0, 700, 4)] + [(None, 1), (3, None)], "doc_id long, abusive int")
-    model = toxicity.fit(docs, labels)
-    got = {r.doc_id for r in toxicity.scored(docs, model).where("abusive").collect()}
+    out = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    got = {i for i, r in out.items() if r.abusive}
     held = {i for i in truth if i % 4}
     assert len(got & set(truth)) >= 0.95 * len(truth) and len(got - set(truth)) <= 3 and len(held & got) >= 0.95 * len(held)
-    scores = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
-    assert len(scores) == len(rows) and scores[800] == scores[801] == 0
-    assert toxicity.scored(docs.limit(0), model).count() == 0
-    empty = toxicity.fit(docs.limit(0), labels.limit(0))
-    assert toxicity.scored(docs, empty).count() == len(rows)
+    assert len(out) == len(rows) and out[800].score == out[801].score == 0
+    assert toxicity.scored(docs.limit(0), labels).count() == 0
+    assert toxicity.scored(docs, labels.limit(0)).where("not abusive").count() == len(rows)
+    # the share of abusive windows is estimated, and each unlabelled window counts
+    told = toxicity.fit(docs, labels)
+    windows = toxicity.distinct_windows(toxicity.places(docs, told))
+    total = windows.where("grams is null").first().n
+    assert total == sum(len(toxicity.words(pa.array([r[1]]))[0]) for r in rows if r[1])
+    places = toxicity.places(docs, told).toPandas()
+    assert windows.where("grams is not null").agg({"n": "sum"}).first()[0] == sum(len(set(w)) for w in places.word)
+    true = sum(1 for w in places[places.doc_id.isin(list(truth))].word for _ in set(w)) / total
+    assert 0.3 * true < toxicity.class_prior(told, windows.where("grams is not null"), total) < 1.5 * true
+
+
+def test_confirmed_windows():
+    """A marked text that no other marked text bears out confirms nothing; repeated texts count once."""
+    clean = [f"the lease of day {i} was signed by the tenant and the owner" for i in range(40)]
+    bad = ["you worthless zorbag nobody wants you here", "get out you worthless zorbag nobody likes you"]
+    told = toxicity.learn([bad[0] + " today", bad[1], "the lease of the boat was fully sold"], clean)
+    assert told.windows and len(told.features) == len(told.odds) and (told.odds > toxicity.TELLING).all()
+    h = toxicity.words(pa.array(["zorbag boat"]))[0]
+    one = toxicity.K.mix(h * np.uint64(3))
+    assert toxicity._in(one, told.features).tolist() == [False, False] or not toxicity._in(one, told.features)[1]
+    assert not toxicity.learn([bad[0]] * 5, clean).windows and not toxicity.learn([], []).windows
 
 
 def test_refusal_in_other_words(spark):

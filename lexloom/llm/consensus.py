@@ -30,6 +30,7 @@ LEVELS = 5
 #: Up to so many raters their parameters (about 1 kB each) travel with the tasks; beyond, they are joined by shuffle.
 BROADCAST_RATERS = 5_000
 PACKED = 64  # ratings that one packed cell holds at most
+TASK = 300_000  # ratings of a task at least, as each task returns sums for all raters
 SETTLED = 2e-4  # gain of log likelihood a label below which the rounds end; it grows in each round, so they do end
 #: Gain of log likelihood a label, over guessing alone and given the others' posterior, below which the mixture calls
 #: a rater a spammer: the labels are less than 7 % likelier as truthful ones than as guesses.
@@ -119,7 +120,7 @@ def _softmax(s: np.ndarray) -> np.ndarray:
 
 def _blocks(values: np.ndarray) -> pa.RecordBatch:
     n = -(-len(values) // BLOCK)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([values[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(n)], pa.binary())], ["block", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([values[i * BLOCK : (i + 1) * BLOCK].astype(np.float32).tobytes() for i in range(n)], pa.binary())], ["block", "sums"])
 
 
 def _summed(parts: DataFrame, size: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def _summed(parts: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist()):
-                v = np.frombuffer(x)
+                v = np.frombuffer(x, np.float32).astype(float)
                 total[i] = total[i] + v if i in total else v
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "sums"])
 
@@ -407,7 +408,7 @@ def fit(ratings: DataFrame) -> Fit:
         coupling = _coupling(np.array([r.counts for r in got], float).reshape(-1, _ND, LEVELS), whole)
         rest = ratings.join(hot, ["item_id", "system"], "left_anti") if any_hot else ratings
         cells = rest.groupBy("item_id", "system").agg(F.collect_list(F.struct("rater", *DIMS)).alias("ratings"))  # at most PACKED each
-        packed = cut(_pack(cells, names))
+        packed = cut(_pack(cells, names).coalesce(max(1, int(whole.sum() / _ND / TASK))))
     if not few or any_hot:
         rest = ratings.join(hot, ["item_id", "system"], "left_semi") if few else ratings
         single = rest.select("rater", "item_id", "system", *[(F.col(x) - 1).cast("int").alias(f"l{d}") for d, x in enumerate(DIMS)])

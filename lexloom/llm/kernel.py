@@ -184,3 +184,33 @@ def ascii_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     s, e = runs((low > 0).astype(np.uint8), starts)
     h = span_hash(prefix(low), s, e)
     return low, s, e, h, np.searchsorted(s, starts)
+
+
+def _letter_table() -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint16)
+    for c in range(1 << 16):
+        ch = chr(c)
+        if not 0xD800 <= c < 0xE000 and ch.isalnum():
+            low = ch.lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
+
+
+def lower(cps: np.ndarray) -> np.ndarray:
+    """Lower-cased letters and digits of all scripts, 0 elsewhere (and beyond the first 65,536 code points)."""
+    if "lower" not in _tables:
+        _tables["lower"] = _letter_table()
+    if cps.dtype == np.uint8:
+        return _tables["lower"][cps]
+    return np.where(cps < 1 << 16, _tables["lower"][np.minimum(cps, 0xFFFF)], 0).astype(np.uint16)
+
+
+def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and digits of all scripts, as `ascii_words`; a character of a script without spaces is a word of its own."""
+    cps, starts = code_points(col)
+    low = lower(cps)
+    group = (low > 0).astype(np.int8)
+    if len(low) and low.max() >= 0x2E80:
+        group = np.where(low >= 0x2E80, 2 + (np.arange(len(low)) & 1), group)
+    s, e = runs(group, starts)
+    return low, s, e, span_hash(prefix(low), s, e), np.searchsorted(s, starts)

@@ -44,7 +44,7 @@ first look at|into plain|but change the order|with a simple noun|simple noun|che
 """
 # Frequent short words of English and of other languages written in Latin letters.
 ENGLISH = "the of and to in a is that for it was on with as by be at this from or had not but an are which have has were their they he she his her its if may must when because who no under any shall such been would can will".split()
-OTHERS = """
+OTHER_LANGUAGES = [line.split() for line in """
 le la les des du un une et est que qui dans pour pas sur au aux avec ce cette ne se il elle sont ou par plus mais son sa ses nous vous leur envers selon
 der die das und ist nicht ein eine einer eines dem den des zu mit von auf für im sich auch es an werden wird aus bei nach wie aber sobald gegenüber konnte muss
 el los las una y es en con por para su del al lo como más pero sus este esta son fue ha cuando sobre entre también frente según debe
@@ -53,7 +53,8 @@ o os as um uma do da dos das em no na com não para por que se foi mais mas ao p
 de het een en van ik te dat op aan met voor zijn er niet om ook bij naar door
 och att det som en på är av för med den till inte har de om ett han var jag
 nie się na w z do jest że to jak od po przez dla
-""".split()
+""".strip().splitlines()]
+OTHERS = [w for line in OTHER_LANGUAGES for w in line]
 # Words of the last list that English text holds too.
 SHARED = "do no so am also come son per non war door met van man on os as a i o e y ha to an me all".split()
 # Stand-ins for an answer.
@@ -77,18 +78,7 @@ _cache: dict = {}
 
 def _fold(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lower-cased letters and digits, 0 elsewhere; the kind of each character)."""
-    if "low" not in _cache:
-        t = np.zeros(1 << 16, np.uint16)
-        for c in range(1 << 16):
-            ch = chr(c)
-            if ch.isalnum() and not 0xD800 <= c < 0xE000:
-                low = ch.lower()
-                t[c] = ord(low) if len(low) == 1 else c
-        _cache["low"] = t
-    kind = kinds(cps)
-    if cps.dtype == np.uint8:
-        return _cache["low"][cps], kind
-    return np.where(cps < 1 << 16, _cache["low"][np.minimum(cps, 0xFFFF)], 0).astype(np.uint16), kind
+    return K.lower(cps), kinds(cps)
 
 
 def _cues(text: str) -> dict[int, np.ndarray]:
@@ -646,6 +636,18 @@ def judge(model: Model, src: pa.Array, rew: pa.Array) -> tuple[np.ndarray, Text,
     return out, t, residue
 
 
+def prose(rew: pa.Array) -> np.ndarray:
+    """Texts that are mainly English prose: no residue, and clauses with the cues of refusals or remarks, and foreign ones, are the lesser part."""
+    t = analyse(pa.array([""] * len(rew), pa.large_string()), rew, _NO_TABLE, _NO_TABLE)
+    talk = ((t.x[:, 1] > 0) & (t.x[:, 4] == 0)) | (t.x[:, 2] > 0) | (t.x[:, 3] > 0)
+    foreign = (t.x[:, 8] > 0.2) | ((t.x[:, 6] > 0.08) & (t.x[:, 6] > t.x[:, 7]))
+    part = lambda rows: np.bincount(t.own[rows], weights=t.weight[rows], minlength=t.rows)
+    sound = part(~talk & ~foreign)
+    out = (sound > part(talk)) & (sound >= part(foreign))
+    out[[r for r, _, _ in findings(rew)]] = False
+    return out
+
+
 def _pairs(scored: DataFrame) -> DataFrame:
     return scored.where("row_id is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("src").cast("string").alias("src"), F.col("rew").cast("string").alias("rew"), F.col("pure_commentary").alias("hint"))
 

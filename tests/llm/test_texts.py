@@ -110,7 +110,7 @@ def test_off_level(spark):
     docs, scored = _levels(spark)
     words = reading._word_list(docs)
     f = reading.fit(scored, words)
-    got = {r.row_id: (r.lv, r.reads) for r in reading.off_level(scored, f, responses.fit(responses._pairs(scored))).collect()}
+    got = {r.row_id: (r.lv, r.reads) for r in reading.off_level(scored, f).collect()}
     assert got == {900: ("beginner", "advanced"), 901: ("advanced", "beginner")}
 
 
@@ -120,12 +120,32 @@ def test_familiar_words_brute_force(spark):
 
     texts = [set(re.findall("[a-z0-9]+", r.text.lower())) for r in docs.where("text is not null and text <> ''").collect()]
     want = {w for t in texts for w in t if sum(w in x for x in texts) >= 0.1 * len(texts) and w.isalpha()}
-    from lexloom.llm.kernel import ascii_words
-
-    _, _, _, h, _ = ascii_words(pa.array(sorted(want)))
+    h = reading._texts(pa.array([" ".join(sorted(want))]))[3]
     assert sorted(h.tolist()) == reading._word_list(docs).tolist()
 
 
+def test_lists_by_language(spark):
+    """A word is familiar where its own language knows it, however few documents that language has."""
+    texts = ["the lease of the house is with the owner"] * 40 + ["le bail de la maison est avec le notaire déjà"] * 2 + ["договор не подписан в срок"] * 2 + ["契约已签"] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = reading._word_list(docs)
+    _, share, _, _ = reading.measures(pa.array(["le notaire est déjà avec la maison", "договор подписан", "契约", "déjà the house of the owner is with", "zut the lease"]), words)
+    assert share.tolist()[:3] == [0, 0, 0] and 0 < share[3] < 0.3 and share[4] > 0.3
+
+
+def test_levels_of_all_texts(spark):
+    """Short texts have a level, texts without words and tables without levels have none."""
+    docs, scored = _levels(spark)
+    f = reading.fit(scored, reading._word_list(docs))
+    few = spark.createDataFrame([(1, "The cat sat."), (2, ""), (3, None), (4, "...")], "row_id long, rew string")
+    got = {r.row_id: r.reads for r in reading._levels(few, "row_id", "rew", f).collect()}
+    assert got[1] in reading.LEVELS and got[2] is got[3] is got[4] is None
+    one = reading.fit(scored.where("lv = 'beginner'"), f.words)
+    assert {r.reads for r in reading._levels(few, "row_id", "rew", one).collect()} == {"beginner", None}
+    none = reading.fit(scored.limit(0), f.words)
+    assert {r.reads for r in reading._levels(few, "row_id", "rew", none).collect()} == {None}
+
+
 def test_measures_by_hand():
     n, share, length, syll = reading.measures(pa.array(["One two. Three four five!", "", "no stop at all", "A.\n\nB c"]), np.zeros(0, np.uint64))
     assert n.tolist() == [5, 0, 4, 3] and length.tolist() == [2.5, 0.0, 4.0, 1.5] and share.tolist() == [1, 0, 1, 1] and syll[1] == 0
@@ -134,7 +154,7 @@ def test_measures_by_hand():
 def test_reading_of_small_tables(spark):
     docs, scored = _levels(spark)
     f = reading.fit(scored.limit(0), reading._word_list(docs.limit(0)))
-    assert reading.off_level(scored.limit(0), f, responses.fit(responses._pairs(scored.limit(0)))).count() == 0
+    assert reading.off_level(scored.limit(0), f).count() == 0
 
 
 def test_spelling_folds():

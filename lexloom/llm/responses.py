@@ -128,7 +128,7 @@ class Text:
     weight: np.ndarray  # letters of each clause
     words: np.ndarray  # words of each clause
     x: np.ndarray  # features
-    copied: np.ndarray  # share of the prompt's words that the response holds, by row
+    copied: np.ndarray  # share of the prompt's words that the response holds, by row; 0 where it cannot reach COPIED
     letters: np.ndarray  # letters and digits by row
     standin: np.ndarray  # rows whose whole text stands in for an answer
     latin_words: np.ndarray
@@ -138,7 +138,7 @@ class Text:
 
 
 _NO_TABLE = (np.zeros(0, np.uint64), np.zeros(0))
-NAMES = ("bias", "refusal", "remark", "first person", "quoted", "echo", "others", "english", "non-latin", "open end", "finality", "cut word", "ellipsis", "first", "last", "short", "colon", "talk", "opener", "bullet", "firm end")
+NAMES = ("bias", "refusal", "remark", "first person", "quoted", "echo", "others", "english", "non-latin", "open end", "finality", "cut word", "ellipsis", "first", "last", "short", "colon", "talk", "opener", "bullet", "firm end", "declined")
 _COL = {n: i for i, n in enumerate(NAMES)}
 
 
@@ -246,6 +246,7 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
         if len(declines[0]):
             i = np.minimum(np.searchsorted(declines[0], h), len(declines[0]) - 1)
             declined = add(np.where((declines[0][i] == h) & ~quoted, declines[1][i], 0.0)) / np.sqrt(sz)
+            x[:, 21] = np.clip(declined, 0, 4)
         commas = np.concatenate([[0], np.cumsum(cps == 44)])
         x[:, 18] = open_end & _in(h[cl], lex["openers"]) & (commas[e[last_word]] == commas[s[cl]])
         lead = np.where(s[cl] > 0, cps[np.maximum(s[cl] - 1, 0)], 0)
@@ -255,32 +256,32 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
     enc = K.as_array(src).dictionary_encode()
     low2, s2, e2, h2, f2 = K.ascii_words(enc.dictionary.cast(pa.large_string()))
     which = enc.indices.to_numpy(zero_copy_only=False)
-    t2 = K.shingle(h2, 3)
-    count2 = np.diff(f2)[which]
-    at = np.repeat(f2[which] - (np.cumsum(count2) - count2), count2) + np.arange(int(count2.sum()))
-    row2 = np.repeat(np.arange(n_rows), count2)
+    src2 = np.repeat(np.arange(len(f2) - 1), np.diff(f2))
     salt = lambda r: K.mix(r.astype(np.uint64) + np.uint64(77))
+    t2 = K.shingle(h2, 3)
+    k2, at2, n2 = np.unique((t2 ^ salt(src2[: len(t2)]))[src2[2:] == src2[:-2]], return_index=True, return_counts=True) if len(t2) else (t2, t2, t2)  # the triples of each distinct prompt
     copied = np.zeros(n_rows)
     low3, s3, e3, h3, f3 = K.ascii_words(rew)
     row3 = np.repeat(np.arange(n_rows), np.diff(f3))
-    if len(t2) and len(h3) >= 3:
-        ok2 = (at < len(t2)) & (np.append(row2[2:], [-1, -1]) == row2)
-        k2 = np.where(ok2, t2[np.minimum(at, len(t2) - 1)] ^ salt(row2), np.uint64(0))
+    if len(k2) and len(h3) >= 3:
         t3 = K.shingle(h3, 3)
-        ok3 = row3[2:] == row3[:-2]
-        k3 = np.where(ok3, t3 ^ salt(row3[: len(t3)]), np.uint64(1))
-        m2 = np.isin(k2, k3) & ok2
-        c2 = m2.copy()
-        c2[1:] |= m2[:-1]
-        c2[2:] |= m2[:-2]
-        copied = np.bincount(row2, weights=c2, minlength=n_rows) / np.maximum(count2, 1)
-        m3 = np.isin(k3, k2) & ok3
+        k3 = t3 ^ salt(which[row3[: len(t3)]])
+        m3 = _in(k3, k2) & (row3[2:] == row3[:-2])
         c3 = np.zeros(len(h3), bool)
         c3[: len(m3)] |= m3
         c3[1 : len(m3) + 1] |= m3
         c3[2 : len(m3) + 2] |= m3
-        known = np.zeros(len(h3), bool)
-        known[: len(h3)] = np.isin(h3 ^ salt(row3), h2[at] ^ salt(row2))
+        # the share of the prompt that is copied, of the rows that hold triples enough for COPIED of it
+        count2 = np.diff(f2)[which]
+        often = np.zeros(len(f2) - 1)
+        np.maximum.at(often, src2[:-2][src2[2:] == src2[:-2]][at2], n2)
+        for r in np.flatnonzero((3 * often[which] * np.bincount(row3[2:][m3], minlength=n_rows) >= COPIED * count2) & (count2 > 2)):
+            p = t2[f2[which[r]] : f2[which[r] + 1] - 2]
+            c2 = np.zeros(len(p) + 2, bool)
+            hit = _in(p, np.sort(t3[f3[r] : f3[r + 1] - 2]))
+            for k in range(3):
+                c2[k : k + len(p)] |= hit
+            copied[r] = c2.mean()
         if nc:
             # by character position, as the two tokenisations differ outside ASCII
             cov = np.zeros(n + 1, np.int64)
@@ -290,11 +291,15 @@ def analyse(src: pa.Array, rew: pa.Array, talk: tuple[np.ndarray, np.ndarray], e
             cc, ct = np.concatenate([[0], np.cumsum(cov)]), np.concatenate([[0], np.cumsum(tot)])
             lo, hi = s[cl], e[last_word]
             x[:, 5] = (cc[hi] - cc[lo]) / np.maximum(ct[hi] - ct[lo], 1)
-            kn = np.zeros(n + 1, bool)
-            kn[np.minimum(s3[known], n)] = True
+            # the last words of open ends that stand in the row's prompt
+            kn = np.zeros(nc, bool)
+            last = np.flatnonzero(x[:, 9] > 0)
+            at3 = np.minimum(np.searchsorted(s3, s[last_word[last]]), len(s3) - 1)
+            same = s3[at3] == s[last_word[last]]
+            kn[last[same]] = _in(h3[at3[same]] ^ salt(which[own[last[same]]]), np.sort(h2 ^ salt(src2)))
             i1 = np.minimum(np.searchsorted(ends[0], key[0][last_word]), max(len(ends[0]) - 1, 0)) if len(ends[0]) else np.zeros(nc, int)
             seen = (ends[0][i1] == key[0][last_word]) if len(ends[0]) else np.zeros(nc, bool)
-            x[:, 11] = (x[:, 9] > 0) & ~kn[s[last_word]] & ~seen
+            x[:, 11] = (x[:, 9] > 0) & ~kn & ~seen
     by_row = lambda v: np.bincount(own, weights=v, minlength=n_rows)
     total_words = by_row(size.astype(float)) if nc else np.zeros(n_rows)
     alnum = np.bincount(np.repeat(np.arange(n_rows), np.diff(starts)), weights=is_word, minlength=n_rows) if n else np.zeros(n_rows)
@@ -321,14 +326,14 @@ def _end_keys(cps: np.ndarray, s: np.ndarray, h: np.ndarray, cw: np.ndarray, cl:
 
 def impossible(x: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Tags that a clause cannot have: an unfinished clause stands last and open, a foreign one shows foreign words or letters, an echo
-    stands in the prompt, and a refusal or remark needs a cue somewhere in its row (`own`)."""
+    stands in the prompt, a refusal has a cue in its row (`own`) or the words of refusals, and a remark a cue or the words of remarks."""
     out = np.zeros((len(x), len(STATES)), bool)
     out[(x[:, 14] == 0) | (x[:, 9] == 0), UNFINISHED] = True
     out[(x[:, 8] <= 0.2) & (x[:, 6] <= 0.08), FOREIGN] = True
     out[x[:, 5] < 0.5, ECHO] = True
     if len(x):
         has = lambda rows: np.bincount(own[rows], minlength=own.max() + 1)[own] > 0
-        out[~has(x[:, 1] > 0), REFUSAL] = True
+        out[~(has(x[:, 1] > 0) | ((x[:, 21] >= DECLINED) & (x[:, 2] == 0))), REFUSAL] = True
         out[~has((x[:, 2] > 0) | (x[:, 3] > 0) | (x[:, 17] > 1.5)), REMARK] = True
     return out
 
@@ -345,30 +350,37 @@ class Field:
         return text.first[rows][:, None] + np.arange(int(n.max()))[None], n
 
     def train(self, x: np.ndarray, allowed: np.ndarray, first: np.ndarray, weight: np.ndarray, steps: int = STEPS, l2: float = 1e-4) -> None:
-        """Adam on the marginal likelihood: `allowed` (clauses, states) says which tags a clause may have."""
-        n = np.diff(first)
-        rows = np.flatnonzero(n > 0)
-        n = n[rows]
-        weight = weight[rows] / weight[rows].sum()
-        width = int(n.max())
-        at = np.minimum(first[rows][:, None] + np.arange(width)[None], len(x) - 1)
-        on = np.arange(width)[None] < n[:, None]
-        own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        """Adam on the marginal likelihood: `allowed` (clauses, states) says which tags a clause may have. Rows of like length are worked on together."""
+        size = np.diff(first)
+        if not (size > 0).any():
+            return
+        weight = np.where(size > 0, weight, 0) / weight[size > 0].sum()
+        own = np.repeat(np.arange(len(size)), size)
         never = np.where(impossible(x, own), -60.0, 0.0)
-        mask = np.where(allowed, 0.0, -60.0)[at]
+        mask = np.where(allowed, 0.0, -60.0)
+        groups, order = [], np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        while len(order):
+            k = int(np.searchsorted(size[order], max(2 * size[order[0]], 8), side="right"))
+            rows, order = order[:k], order[k:]
+            at = np.minimum(first[rows][:, None] + np.arange(int(size[rows].max()))[None], len(x) - 1)
+            groups.append((at, np.arange(at.shape[1])[None] < size[rows][:, None], size[rows], weight[rows]))
         theta = [self.w, self.t, self.a, self.z]
         m1, m2 = [np.zeros_like(v) for v in theta], [np.zeros_like(v) for v in theta]
         for step in range(1, steps + 1):
-            u = (x @ self.w + never)[at]
-            free, ft = self._expect(u, on, n, weight)
-            fixed, xt = self._expect(u + mask, on, n, weight)
-            diff = (fixed - free) * (on * weight[:, None])[:, :, None]
-            ga = diff[:, 0].sum(0)
-            gz = diff[np.arange(len(n)), n - 1].sum(0)
+            score = x @ self.w + never
             flat = np.zeros((len(x), len(STATES)))
-            flat[at[on]] = diff[on]
-            grads = [x.T @ flat, xt - ft, ga, gz]
-            for i, (v, g) in enumerate(zip(theta, grads)):
+            gt, ga, gz = np.zeros_like(self.t), np.zeros_like(self.a), np.zeros_like(self.z)
+            for at, on, n, w in groups:
+                u = score[at]
+                free, ft = self._expect(u, on, n, w)
+                fixed, xt = self._expect(u + mask[at], on, n, w)
+                diff = (fixed - free) * (on * w[:, None])[:, :, None]
+                flat[at[on]] = diff[on]
+                gt += xt - ft
+                ga += diff[:, 0].sum(0)
+                gz += diff[np.arange(len(n)), n - 1].sum(0)
+            for i, (v, g) in enumerate(zip(theta, [x.T @ flat, gt, ga, gz])):
                 g = g - l2 * v
                 m1[i] = 0.9 * m1[i] + 0.1 * g
                 m2[i] = 0.99 * m2[i] + 0.01 * g * g
@@ -499,60 +511,90 @@ def _decline_odds(u: np.ndarray, n: np.ndarray, f: np.ndarray, rows: int, refusa
     return u, np.clip(odds, 0, 3)
 
 
-def decline_words(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, log odds) of the words that stand in three short refusals or more, counted over all rows."""
+def _sentence_ends(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its row, keys of it alone, with the word before and the two before, whether it ends a sentence)."""
+    cps, starts = K.code_points(col)
+    low, _ = _fold(cps)
+    s, e = K.runs((low > 0).astype(np.int64), starts)
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 3), np.uint64), np.zeros(0, bool)
+    h = K.span_hash(K.prefix(low), s, e)
+    row = K.owner(s, starts)
+    c = np.append(cps, [0, 0])
+    final = (c[e] == 46) & ((c[np.minimum(e + 1, len(cps))] == 32) | (c[np.minimum(e + 1, len(cps))] == 10) | (e + 1 >= starts[row + 1]))
+    new = np.append(True, final[:-1] | (row[1:] != row[:-1]))
+    keys = np.stack(_end_keys(cps, s, h, np.cumsum(new) - 1, np.flatnonzero(new), low), 1)
+    keys[np.append(row[1:] != row[:-1], True) & ~final] = 0  # the last word of an open end says nothing
+    return h, row, keys, final
+
+
+def _counted(values: np.ndarray, known: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each of the sorted `known` stands in `values`, and that weighted, as columns."""
+    if not len(known) or not len(values):
+        return np.zeros((len(known), 2))
+    i = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    hit = known[i] == values
+    return np.stack([np.bincount(i[hit], minlength=len(known)), np.bincount(i[hit], weights=weight[hit], minlength=len(known))], 1)
+
+
+def word_tables(pairs: DataFrame, src: pa.Array, rew: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(talk, ends, declines): sorted hashes and log odds, counted over all rows (src, rew, hint) in one pass.
+
+    talk: of words in hinted remarks. ends: that a word, a pair or a triple ends a sentence. Both of the words that the
+    training sample (src, rew) holds, as only those have a weight. declines: of words that stand in three short refusals or more.
+    """
+    (_, _, k1, _), (h2, _, k2, _) = _sentence_ends(src), _sentence_ends(rew)
+    words, keys = np.unique(h2), np.unique(np.concatenate([k1.ravel(), k2.ravel()]))
+    blob = pickle.dumps((words, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, keys = pickle.loads(blob)
+        talk, ends, places = np.zeros((len(words), 2)), np.zeros((len(keys), 2)), np.zeros(2)
         for batch in batches:
-            for a, b in K.chunks(batch.column("rew"), 1 << 19):
-                u, n, f = _decline_counts(batch.column("rew").slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n, pa.int64()), pa.array(f, pa.int64())], ["h", "n", "f"])
-
-    counts = pairs.where("rew is not null").select("rew").mapInArrow(run, "h long, n long, f long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    got = counts.where("f >= 3 or h = 0").toPandas()
-    u, n, f = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64), got["f"].to_numpy(np.int64)
-    if not (u != 0).any():
-        return _NO_TABLE
-    total, w = u == 0, u != 0
-    return _decline_odds(u[w], n[w], f[w], int(n[total][0]), int(f[total][0]))
-
-
-def _word_tables(src: pa.Array, rew: pa.Array, hint: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(log odds of words in hinted remarks, log odds that a word pair ends a sentence) over the training sample."""
-    ends: dict[str, list] = {"key": [], "end": []}
-    words, flags = [], []
-    for col, is_rew in ((src, False), (rew, True)):
-        cps, starts = K.code_points(col)
-        low, kind = _fold(cps)
-        s, e = K.runs((low > 0).astype(np.int64), starts)
-        if not len(s):
-            continue
-        h = K.span_hash(K.prefix(low), s, e)
-        row = K.owner(s, starts)
-        c = np.append(cps, [0, 0])
-        final = (c[e] == 46) & ((c[np.minimum(e + 1, len(cps))] == 32) | (c[np.minimum(e + 1, len(cps))] == 10) | (e + 1 >= starts[row + 1]))
-        new = np.append(True, final[:-1] | (row[1:] != row[:-1]))
-        cl = np.flatnonzero(new)
-        keys = _end_keys(cps, s, h, np.cumsum(new) - 1, cl, low)
-        inner = np.append(row[1:] == row[:-1], False) | final  # the last word of an open end says nothing
-        for k in keys:
-            ends["key"].append(k[inner])
-            ends["end"].append(final[inner])
-        if is_rew:
-            words.append(h)
-            flags.append(hint[row])
-    key, end = np.concatenate(ends["key"]), np.concatenate(ends["end"])
-    u, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-    f = np.bincount(inv, weights=end)
-    keep = n >= 3
-    end_table = (u[keep], np.clip(np.log((f[keep] + 0.2) / (n[keep] - f[keep] + 0.2)), -5, 5))
-    h, flag = np.concatenate(words), np.concatenate(flags)
-    u, inv, n = np.unique(h, return_inverse=True, return_counts=True)
-    p = np.bincount(inv, weights=flag)
-    keep = n >= 4
-    a, b = max(flag.sum(), 1), max((~flag).sum(), 1)
-    odds = np.log(((p + 0.5) / (a + 1)) / ((n - p + 0.5) / (b + 1)))
-    return (u[keep], np.clip(odds[keep], -3, 3)), end_table
+            hint = batch.column("hint").to_numpy(zero_copy_only=False).astype(bool)
+            enc = K.as_array(batch.column("src")).dictionary_encode()
+            times = np.bincount(enc.indices.to_numpy(zero_copy_only=False), minlength=len(enc.dictionary))
+            prompts = enc.dictionary.cast(pa.large_string())
+            for a, b in K.chunks(prompts, 1 << 18):
+                _, row, k, final = _sentence_ends(prompts.slice(a, b - a))
+                t = times[a:b][row].astype(float)
+                i = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                hit = keys[i] == k if len(keys) else np.zeros(k.shape, bool)
+                w = np.repeat(t[:, None], 3, 1)
+                ends[:, 0] += np.bincount(i[hit], w[hit], len(keys))
+                ends[:, 1] += np.bincount(i[hit], (w * final[:, None])[hit], len(keys))
+            for a, b in K.chunks(batch.column("rew"), 1 << 18):
+                col = batch.column("rew").slice(a, b - a)
+                h, row, k, final = _sentence_ends(col)
+                talk += _counted(h, words, hint[a:b][row].astype(float))
+                ends += _counted(k.ravel(), keys, np.repeat(final, 3).astype(float))
+                places += [len(h), hint[a:b][row].sum()]
+                u, n, f = _decline_counts(col)
+                yield _stats(0, u, np.stack([n, f], 1))
+        yield _stats(1, np.arange(len(words)), talk)
+        yield _stats(2, np.arange(len(keys)), ends)
+        yield _stats(3, np.zeros(1, np.int64), places[None])
+
+    rows = pairs.where("rew is not null").select("src", "rew", F.coalesce(F.col("hint").cast("boolean"), F.lit(False)).alias("hint"))
+    counts = rows.mapInArrow(run, "kind int, h long, n long, f long").groupBy("kind", "h").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    got = counts.where("kind > 0 or f >= 3 or h = 0").toPandas()  # the sample's words, and those of refusals
+    part = [got[got.kind == k].sort_values("h") for k in range(4)]
+    d, t, e, total = ([x[c].to_numpy(np.int64) for c in ("h", "n", "f")] for x in part)
+    u, w = d[0].view(np.uint64), d[0] != 0
+    declines = _decline_odds(u[w], d[1][w], d[2][w], int(d[1][~w].sum()), int(d[2][~w].sum())) if w.any() else _NO_TABLE
+    places, hinted = int(total[1].sum()), int(total[2].sum())
+    keep = t[1] >= 4
+    odds = np.log(((t[2] + 0.5) / (max(hinted, 1) + 1)) / ((t[1] - t[2] + 0.5) / (max(places - hinted, 1) + 1)))
+    talk = (words[t[0][keep]], np.clip(odds[keep], -3, 3))
+    keep = (e[1] >= 3) & (keys[e[0]] != 0)
+    ends = (keys[e[0][keep]], np.clip(np.log((e[2][keep] + 0.2) / (e[1][keep] - e[2][keep] + 0.2)), -5, 5))
+    return talk, ends, declines
+
+
+def _stats(kind: int, h: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    some = counts[:, 0] > 0
+    n = counts[some].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind), pa.int32()), pa.array(h[some].astype(np.uint64).view(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])], ["kind", "h", "n", "f"])
 
 
 @dataclass
@@ -564,13 +606,13 @@ class Model:
 
 
 def fit(pairs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from at most `sample` rows (src, rew, hint) of `pairs`, those of least hash of row_id."""
+    """Model from at most `sample` rows (src, rew, hint) of `pairs`, those of least hash of row_id, and word statistics of all rows."""
     rows = least_hashed(pairs.where("rew is not null and src is not null"), "row_id", sample).select("src", "rew", "hint").toPandas()
     src, rew = [str(x) for x in rows["src"]], [str(x) for x in rows["rew"]]
     hint = np.array([x is True or x == 1 for x in rows["hint"]], bool)
     if not len(rows):
         return Model(Field(len(NAMES)), (np.zeros(0, np.uint64), np.zeros(0)), (np.zeros(0, np.uint64), np.zeros(0)))
-    talk, ends = _word_tables(pa.array(src, pa.large_string()), pa.array(rew, pa.large_string()), hint)
+    talk, ends, declines = word_tables(pairs, pa.array(src, pa.large_string()), pa.array(rew, pa.large_string()))
     rng = np.random.default_rng(5)
     cut = np.zeros(2 * len(rew), bool)
     more = []
@@ -586,23 +628,18 @@ def fit(pairs: DataFrame, sample: int = SAMPLE) -> Model:
                 more.append(body)
         else:
             more.append(t)
-    t = analyse(pa.array(src + src, pa.large_string()), pa.array(rew + more, pa.large_string()), talk, ends)
+    t = analyse(pa.array(src + src, pa.large_string()), pa.array(rew + more, pa.large_string()), talk, ends, declines)
     allowed = _partial(t, np.concatenate([hint, hint]), cut)
     # a copy that lost its full stop alone is finished
     bare = np.zeros(len(cut), bool)
     bare[len(rew) :] = ~cut[len(rew) :]
     rows_bare = bare[t.own] & (t.x[:, 9] > 0)
     allowed[rows_bare, UNFINISHED] = False
-    n = np.diff(t.first)
-    keep = np.flatnonzero(n <= 40)
-    at = np.concatenate([np.arange(t.first[r], t.first[r + 1]) for r in keep]) if len(keep) else np.zeros(0, int)
     field = Field(len(NAMES))
-    if len(at):
-        # rows with a clear rare tag count more, as they are few
-        rare = allowed[:, [REFUSAL, REMARK, FOREIGN]].any(1) & ~allowed[:, ANSWER]
-        weight = 1.0 + 7.0 * (np.bincount(t.own[rare], minlength=t.rows)[keep] > 0)
-        field.train(t.x[at], allowed[at], np.concatenate([[0], np.cumsum(n[keep])]), weight)
-    return Model(field, talk, ends, decline_words(pairs))
+    # rows with a clear rare tag count more, as they are few
+    rare = allowed[:, [REFUSAL, REMARK, FOREIGN]].any(1) & ~allowed[:, ANSWER]
+    field.train(t.x, allowed, t.first, 1.0 + 7.0 * (np.bincount(t.own[rare], minlength=t.rows) > 0))
+    return Model(field, talk, ends, declines)
 
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language", "commentary")
@@ -622,11 +659,6 @@ def judge(model: Model, src: pa.Array, rew: pa.Array) -> tuple[np.ndarray, Text,
     out[(last == UNFINISHED) & has] = 1
     out[(part[:, REMARK] > 0) & (answer <= 0.4 * total)] = 5
     out[(part[:, REFUSAL] > 0) & ((answer <= 0.4 * total) | (answer < 60))] = 2
-    # a refusal without any listed cue: nearly all of a row is in the words of refusals, and no listed remark outweighs it
-    said = np.bincount(t.own, weights=t.weight * (t.declined >= DECLINED), minlength=t.rows)
-    noted = np.bincount(t.own, weights=t.x[:, 2], minlength=t.rows) > 0
-    open_ = np.where(noted, (out == -1) & (part[:, REMARK] <= 0.5 * total), (out == -1) | (out == 5))
-    out[open_ & (said >= 0.9 * total) & (total > 20)] = 2
     out[(part[:, FOREIGN] > 0) & (part[:, FOREIGN] >= 0.6 * (part[:, FOREIGN] + answer))] = 4
     out[t.copied >= COPIED] = 3
     out[(t.letters == 0) | t.standin] = 0

@@ -223,3 +223,26 @@ def test_refusal_in_other_words(spark):
     bare = [i for i in range(160) if rew[i].endswith("outside what I can do.")]
     assert len(bare) == 5 and all(got.get(i) == "refusal" for i in bare), [(i, got.get(i)) for i in bare]
     assert not [i for i in range(160) if defect[i] is None and got.get(i) == "refusal"]
+
+
+def test_word_tables_count_all_rows(spark):
+    """The statistics of words cover rows that are not in the sample; the sample only says which words have a weight."""
+    rows = [(i, f"The lease ends on day {i}. The owner pays.", "I should keep the lease. The owner pays" if i % 2 else "The owner pays. The lease ends.", bool(i % 2)) for i in range(60)] + [(99, None, "", None), (98, "x", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, src string, rew string, hint boolean")
+    few = pa.array(["The owner pays. I should keep it"], pa.large_string())
+    talk, ends, declines = responses.word_tables(df, few, few)
+    odds = dict(zip(talk[0].tolist(), talk[1].tolist()))
+    h = lambda w: int(responses._hash_words([w])[0])
+    assert odds[h("should")] > 2 and odds[h("owner")] < 0.5 and h("ends") not in odds and h("it") not in odds
+    _, _, keys, _ = responses._sentence_ends(few)
+    end = dict(zip(ends[0].tolist(), ends[1].tolist()))
+    assert end[int(keys[2, 0])] > 1 and end[int(keys[1, 0])] < -2 and not len(declines[0])
+    assert all(not len(x[0]) for x in responses.word_tables(df.limit(0), few, few)) and not len(responses.fit(df.limit(0)).talk[0])
+
+
+def test_long_rows_are_trained_on(spark):
+    """Rows of any number of clauses enter the fit."""
+    text = " ".join(f"The owner of house {i} pays the rent." for i in range(120))
+    df = spark.createDataFrame([(i, text, text if i % 2 else f"I am sorry, but I cannot rewrite passage {i}.", None) for i in range(20)], "row_id long, src string, rew string, hint boolean")
+    got = {r.row_id: r.defect for r in responses.defects(df, responses.fit(df)).collect()}
+    assert got == {i: "copy" if i % 2 else "refusal" for i in range(20)}

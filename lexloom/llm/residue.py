@@ -1,9 +1,11 @@
 """Template residue, filler and error-page text (problem 1).
 
 One Aho-Corasick automaton holds phrases of error pages, script notices and filler in several languages,
-and the openings of template placeholders. A text is residue when the matched phrases cover enough of one
-of its segments (a sentence or line), when a whole placeholder stands in it, or when one word is repeated
-on and on. A passing mention ("the server served the writ") covers too little of its sentence.
+and the openings of template placeholders. A document is residue when the matched phrases cover at least the
+share COVERAGE of its length. Residue may also be inserted into sound text; so a sentence, a line, or an
+unpunctuated stretch of dense matches is taken for a document of its own, and the greatest of these coverages
+decides. A whole placeholder covers itself wholly. A passing mention ("the server served the writ") covers too
+little of its sentence.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import kernel as K
 
-COVERAGE = 0.34  # least share of a segment's characters that matched phrases must cover
+COVERAGE = 0.34  # least share of the characters of a document, or of a sentence or line in it, that matched phrases must cover
+LEAST = 8  # characters that they must cover in any case
 DENSE = 28  # matched characters that suffice where they stand close together in an unpunctuated text
 REPEATS = 4  # equal words in a row that count as filler
 
-# Phrases of notices that scripts are required.
+# Phrases of notices that scripts are required, as pages commonly word them.
 SCRIPT = """
 enable javascript|turn on javascript|activate javascript|javascript is disabled|javascript is required|requires javascript|javascript must be|without javascript|
 javascript is not enabled|javascript has been disabled|javascript to continue|javascript to view|javascript in the settings|javascript in your browser|does not support javascript|turn javascript on|javascript to use|needs javascript|javascript enabled|
 in your browser|your browser|this browser|does not support scripts|support scripts|allow scripts|scripts must be|cookies and scripts|scripts have to be|scripts are blocked|scripts are disabled|
-without scripting|enable scripts|enable scripting|stopped scripts|blocked scripts|ad blocker|adblock|script blocker|enable cookies|cookies must be|cookies are required|cookies to continue|must be active|switched on|cannot be shown|cannot be displayed|will not run|
-verify that you are human|verify you are human|are not a robot|checking your browser|just a moment|one moment|checking if the site connection is secure|<noscript>|</noscript>|then press f5|press f5|reload page|reload the page|refresh the page|refresh this page|works best with it on|turn it on and|this site|this page|to continue reading|to view|
+without scripting|enable scripts|enable scripting|stopped scripts|blocked scripts|ad blocker|it looks like an ad blocker|looks like you are using an ad blocker|adblock|script blocker|enable cookies|cookies must be|cookies are required|cookies to continue|must be active|switched on|cannot be shown|cannot be displayed|will not run|
+verify that you are human|verify you are human|are not a robot|checking your browser|just a moment|checking if the site connection is secure|<noscript>|</noscript>|then press f5|press f5|reload page|reload the page|refresh the page|refresh this page|works best with it on|turn it on and|to continue reading|
 javascript aktivieren|aktivieren sie javascript|javascript ist deaktiviert|bitte javascript|javascript erforderlich|in ihrem browser|ihr browser|cookies aktivieren|skripte|unterstützt kein javascript|seite neu laden|
 activer javascript|activez javascript|veuillez activer javascript|javascript est désactivé|javascript est requis|dans votre navigateur|votre navigateur|activer les scripts|activez les cookies|recharger la page|rechargez la page|
 activar javascript|active javascript|habilite javascript|habilitar javascript|activa javascript|javascript está desactivado|javascript está deshabilitado|en su navegador|en tu navegador|su navegador|tu navegador|recargue la página|recarga la página|requiere javascript|
@@ -40,13 +43,13 @@ ative o javascript|ativar o javascript|habilite o javascript|no seu navegador|re
 启用javascript|请启用javascript|需要javascript|您的浏览器|浏览器不支持|刷新页面|重新加载页面|javascriptを有効|お使いのブラウザ
 """
 
-# Phrases of error pages and failed calls.
+# Phrases of error pages and failed calls, as servers and programs commonly word them.
 ERROR = """
-404 not found|404 page not found|error 404|page not found|page can't be found|page can’t be found|page cannot be found|page could not be found|page you requested|page you are looking for|was not found on this server|not found on this server|the requested url|the requested passage|the requested page|the requested resource|could not be found|
-500 internal server error|internal server error|http 500|http 502|http 503|http 504|http 404|http 403|http 429|http error|error 500|error 502|error 503|error 504|error 403|server error|502 bad gateway|bad gateway|503 service|service temporarily unavailable|service unavailable|temporarily unavailable|504 gateway|gateway timeout|gateway time-out|gave no answer|gateway |upstream |closed the connection|model worker|worker | unavailable|
+404 not found|404 page not found|error 404|page not found|page can't be found|page can’t be found|page cannot be found|page could not be found|page you requested|page you are looking for|was not found on this server|not found on this server|the requested url|the requested page|the requested resource|could not be found|
+500 internal server error|internal server error|http 500|http 502|http 503|http 504|http 404|http 403|http 429|http error|error 500|error 502|error 503|error 504|error 403|server error|502 bad gateway|bad gateway|503 service|service temporarily unavailable|service unavailable|temporarily unavailable|504 gateway|gateway timeout|gateway time-out|closed the connection|
 something went wrong|on our end|try again later|please try again|try searching for|oops!|we are sorry, but something|an error occurred|an error has occurred|an unexpected error|unexpected error|unhandled exception|
-error establishing a database connection|database connection|database error|connection was reset|connection reset|connection refused|connection timed out|connection failed|was loading|could not connect|unable to connect|can't be reached|took too long to respond|
-timed out after|request timed out|has timed out|request timeout|read timed out|timeouterror|no reply|
+error establishing a database connection|database connection|database error|connection was reset|connection reset|connection refused|connection timed out|connection failed|could not connect|unable to connect|can't be reached|took too long to respond|
+timed out after|request timed out|has timed out|request timeout|read timed out|timeouterror|
 session has expired|session expired|log in again|sign in again|please log in|please sign in|you must be logged in|
 403 forbidden|access denied|access to this resource|access is denied|you do not have permission|you don't have permission|permission to view|permission to access|to view resource|
 rate limit reached|rate limit exceeded|too many requests|quota exceeded|{"error"|"error":|"code": 4|"code": 5|"code":4|"code":5|"message": "|"status": 5|"status": 4|
@@ -62,11 +65,11 @@ página não encontrada|erro interno do servidor|acesso negado|ocorreu um erro|t
 页面未找到|找不到页面|页面不存在|内部服务器错误|服务器错误|拒绝访问|访问被拒绝|没有权限|发生错误|请稍后再试|请稍后重试|会话已过期|连接已重置|请求超时|系统维护
 """
 
-# Phrases of filler and unwritten sections.
+# Phrases of filler and unwritten sections, as templates commonly word them.
 FILLER = """
 lorem ipsum|dolor sit amet|dummy text|sample text|placeholder text|filler text|for layout|replace this paragraph|replace this text|with your own content|with your own text|your own content|your text here|your content here|your title here|
 type something|add your first paragraph|add your text|add text here|insert text here|enter text here|text goes here|content goes here|first paragraph here|click to edit|click here to edit|edit this text|
-coming soon|has not been written yet|not been written yet|not yet written|to be written|write the rewrite later|write later|to be completed|to be added|to be announced|todo:|todo |tbd tbd|tbd.|fixme|
+coming soon|has not been written yet|not been written yet|not yet written|to be written|to be completed|to be added|to be announced|final wording to follow|wording to follow|text to follow|content to follow|copy to follow|details to follow|placeholder paragraph|todo:|todo |tbd tbd|tbd.|fixme|
 blah blah|bla bla|xxx xxx|asdf asdf|test test|text text|foo bar|qwerty|
 blindtext|platzhaltertext|beispieltext|mustertext|hier steht ihr text|demnächst verfügbar|texte factice|faux texte|texte d'exemple|votre texte ici|bientôt disponible|texto de relleno|texto de ejemplo|su texto aquí|tu texto aquí|próximamente|testo segnaposto|testo di esempio|il tuo testo qui|prossimamente|пример текста|здесь будет текст|скоро здесь|示例文本|占位文本|此处输入文本|敬请期待
 """
@@ -131,6 +134,8 @@ def _patterns() -> list[tuple[int, re.Pattern]]:
 
 
 _SEGMENT = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+|\n+|(?<=[。！？])")
+#: A status line: the protocol or the word with a number, then a dash, colon, bar or the end.
+_STATUS = re.compile(r"\s*(?:http(?:/\d\.\d)?|error) ?[45]\d\d\b(?: *[-–—:|]|\s*$)")
 _LEGAL = re.compile(r"(?i)\[(?:sic|emphasis|end of|citation|footnote|redacted|omitted|internal)\b")
 
 
@@ -174,30 +179,39 @@ def judge(text: str, low: str, hits: list[tuple[int, tuple[str, int]]]) -> tuple
         return None
     every = sorted(x for s in spans.values() for x in s)
     most = max(spans, key=lambda k: _union(spans[k]))
-    # dense groups, for texts without punctuation
+    whole = min(1.0, _union(every) / size)
+    if whole >= COVERAGE and _union(every) >= LEAST:
+        return most, whole
+    return (most, whole) if _dense(low, every) or _inserted(text, low, every) else None
+
+
+def _dense(low: str, every: list[tuple[int, int]]) -> bool:
+    """Whether different matches stand close together and cover half of the stretch that they span, for texts without punctuation."""
     group: list[tuple[int, int]] = []
     for s, e in [*every, (1 << 60, 1 << 60)]:
         if group and s - max(x[1] for x in group) > 24:
             n = _union(group)
             if n >= DENSE and len({low[a:b] for a, b in group}) > 1 and n >= 0.5 * (max(x[1] for x in group) - group[0][0]):
-                return most, min(1.0, _union(every) / size)
+                return True
             group = []
         group.append((s, e))
-    at = 0
-    cuts = [m.end() for m in _SEGMENT.finditer(text)] + [len(text)]
-    i = 0
-    for cut in cuts:
+    return False
+
+
+def _inserted(text: str, low: str, every: list[tuple[int, int]]) -> bool:
+    """Whether the matches cover enough of one sentence or line; a status line is one as a whole."""
+    at = i = 0
+    for cut in [m.end() for m in _SEGMENT.finditer(text)] + [len(text)]:
         inside = []
         while i < len(every) and every[i][0] < cut:
             inside.append((max(at, every[i][0]), min(cut, every[i][1])))
             i += 1
         if inside:
-            body = len(text[at:cut].strip())
             n = _union(inside)
-            if n >= 8 and n >= COVERAGE * body:
-                return most, min(1.0, _union(every) / size)
+            if n >= LEAST and (n >= COVERAGE * len(text[at:cut].strip()) or _STATUS.match(low[at:cut])):
+                return True
         at = cut
-    return None
+    return False
 
 
 def findings(col: pa.Array) -> list[tuple[int, str, float]]:

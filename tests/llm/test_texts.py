@@ -246,3 +246,16 @@ def test_long_rows_are_trained_on(spark):
     df = spark.createDataFrame([(i, text, text if i % 2 else f"I am sorry, but I cannot rewrite passage {i}.", None) for i in range(20)], "row_id long, src string, rew string, hint boolean")
     got = {r.row_id: r.defect for r in responses.defects(df, responses.fit(df)).collect()}
     assert got == {i: "copy" if i % 2 else "refusal" for i in range(20)}
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("HTTP 500 - model worker unavailable", "error"), ("The tenant paid.\nError 404: no such file\nThe rent is due.", "error"), ("It looks like an ad blocker stopped scripts that Tarn needs (7047).", "script"), ("Introductory paragraph 12, final wording to follow.", "filler"),
+        ("HTTP 404 is a status code that the expert explained to the court in file 12.", None), ("The error 404 units of account were found in the ledger of the owner.", None), ("The text to follow the notice was agreed by the parties in March of that year.", None),
+    ],
+)
+def test_residue_rules(text, kind):
+    """A document, or a sentence or line in it, whose covered share is high; a status line; no mere mention."""
+    got = residue.findings(pa.array([text]))
+    assert [k for _, k, _ in got] == ([kind] if kind else [])

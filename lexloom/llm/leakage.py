@@ -6,10 +6,15 @@ document shares with a passage, so the domains are the runs of `RUN` words, each
 MinHash, so a single band finds each of them. Documents are partitioned by length: the longer a
 document, the more runs it has that could meet a passage by chance, hence the more hash functions its
 band joins. Every candidate is verified by exact containment of a run, word by word.
+
+Passages of at most `BLOCK_WORDS` words together travel with the tasks as an index, and the documents are read
+once; more of them are joined with the documents by band key, with the same result.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,7 @@ RUN = 20
 SHINGLE = 5
 #: Upper document lengths in words, and the number of MinHash functions a band joins up to there.
 PARTITIONS = ((256, 1), (4096, 2), (1 << 62, 3))
-BLOCK_WORDS = 2_000_000  # passages are searched for in blocks of about so many words
+BLOCK_WORDS = 2_000_000  # words of the passages up to which their index travels with the tasks
 
 _SALT = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -38,7 +43,7 @@ def _minima(words: np.ndarray, r: int, run: int, k: int) -> np.ndarray:
 
 
 class Passages:
-    """Band keys and exact runs of a block of passages; bounded by BLOCK_WORDS."""
+    """Band keys and exact runs of passages; bounded by BLOCK_WORDS."""
 
     def __init__(self, ids: list[str], texts: list[str], run: int, k: int):
         self.ids, self.run, self.k = ids, run, k
@@ -108,31 +113,81 @@ def contained(documents: DataFrame, passages: DataFrame, run: int = RUN, k: int
     """(doc_id, id, containment): passages that share at least `run` consecutive words with a document.
 
     `containment` is the share of the passage's runs that the document holds. Null and empty texts, and
-    passages shorter than a run, match nothing; ids of null are left out; repeated rows give one row;
-    other columns are ignored. Passages are taken in blocks of about BLOCK_WORDS words.
+    passages shorter than a run, match nothing; ids of null are left out; repeated rows give one row, with the
+    greatest containment where rows of one id differ; other columns are ignored.
     """
     q = passages.where("id is not null and src is not null").select(F.col("id").cast("string").alias("id"), F.col("src").cast("string").alias("src"))
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = q.agg(F.sum(F.length("src") / 6 + 1)).first()[0] or 0
-    blocks = max(1, -(-int(words) // BLOCK_WORDS))
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
-        ids, texts = [r.id for r in rows], [r.src for r in rows]
-
-        def search(batches: Iterator[pa.RecordBatch], ids: list = ids, texts: list = texts) -> Iterator[pa.RecordBatch]:
-            block = Passages(ids, texts, run, k)
+    found = _indexed(docs, q.collect(), run, k) if words <= BLOCK_WORDS else _joined(docs, q, run, k)
+    return found.groupBy("doc_id", "id").agg(F.max("containment").alias("containment"))
+
+
+_FOUND = "doc_id long, id string, containment double"
+
+
+def _indexed(docs: DataFrame, rows: list, run: int, k: int) -> DataFrame:
+    """Matches by an index of the passages that is built once and travels with the tasks."""
+    ids = [r.id for r in rows]
+    blob = pickle.dumps(Passages(ids, [r.src for r in rows], run, k))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = pickle.loads(blob)
+        for batch in batches:
+            col, key = batch.column("text"), batch.column("doc_id")
+            found = []
+            for a, b in K.chunks(col, 1 << 17):
+                found += [(a + row, i, n / m) for row, i, n, m in index.search(key, col.slice(a, b - a))]
+            if found:
+                yield pa.RecordBatch.from_arrays([key.take(pa.array([x[0] for x in found])), pa.array([ids[x[1]] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())], ["doc_id", "id", "containment"])
+
+    return docs.mapInArrow(search, _FOUND)
+
+
+def _band_keys(col: pa.Array, run: int, k: int, all_parts: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash functions joined, key) of each distinct band key of the texts: by the text's own length, or for every partition."""
+    _, _, _, h, first = K.ascii_words(col)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for row, (a, b) in enumerate(zip(first, first[1:])):
+        if b - a >= run:
+            for r in sorted({r for _, r in PARTITIONS} if all_parts else {next(r for upper, r in PARTITIONS if b - a <= upper)}):
+                keys = np.unique(_minima(h[a:b], r, run, k))
+                out.append((np.full(len(keys), row), np.full(len(keys), r), keys))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def shared_runs(text: str, passage: str, run: int) -> tuple[int, int]:
+    """(runs of the passage that stand in the text, runs of the passage)."""
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    w, q = words(text), words(passage)
+    held = {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
+    return sum(tuple(q[i : i + run]) in held for i in range(len(q) - run + 1)), max(len(q) - run + 1, 0)
+
+
+def _joined(docs: DataFrame, q: DataFrame, run: int, k: int) -> DataFrame:
+    """Matches by a join on the band keys; a key that many documents hold is split by the adaptive join."""
+
+    def keys(all_parts: bool):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                col, key = batch.column("text"), batch.column("doc_id")
-                found = []
-                for a, b in K.chunks(col):
-                    found += [(a + row, i, n / m) for row, i, n, m in block.search(key, col.slice(a, b - a))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([key.take(pa.array([x[0] for x in found])), pa.array([ids[x[1]] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())], ["doc_id", "id", "containment"])
-
-        part = docs.mapInArrow(search, "doc_id long, id string, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "id").agg(F.max("containment").alias("containment"))
+                for a, b in K.chunks(batch.column(1), 1 << 17):
+                    row, r, key = _band_keys(batch.column(1).slice(a, b - a), run, k, all_parts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(r), pa.array(key.view(np.int64))], [batch.schema.names[0], "r", "key"])
+
+        return each
+
+    mine = q.select("id", "src").mapInArrow(keys(True), "id string, r long, key long").distinct()
+    theirs = docs.mapInArrow(keys(False), "doc_id long, r long, key long")
+    pairs = theirs.join(mine, ["r", "key"]).select("doc_id", "id").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [shared_runs(t, p, run) for t, p in zip(batch.column("text").to_pylist(), batch.column("src").to_pylist())]
+            hit = pa.array([i for i, (n, _) in enumerate(counts) if n], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(hit), batch.column("id").take(hit), pa.array([n / m for n, m in counts if n], pa.float64())], ["doc_id", "id", "containment"])
+
+    both = pairs.join(docs, "doc_id").join(q, "id").select("doc_id", "id", "text", "src")
+    return both.mapInArrow(verify, _FOUND)
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:

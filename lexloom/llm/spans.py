@@ -126,13 +126,23 @@ def matches(a: str, b: str, span: int) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
-def shared_spans(records: DataFrame, fields: tuple[str, ...] = ("src", "rew"), span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _starred(keys: DataFrame) -> DataFrame:
+    """(ta, tb): each text of a key with one text of another id that stands for the key, so that the pairs grow with the texts."""
+    ends = keys.groupBy("key").agg(F.min(F.struct("ih", "th")).alias("lo"), F.max(F.struct("ih", "th")).alias("hi"))
+    other = F.when(F.col("lo.ih") != F.col("ih"), F.col("lo.th")).otherwise(F.col("hi.th"))
+    pairs = keys.join(ends, "key").select("th", other.alias("o")).where("th <> o")
+    return pairs.select(F.least("th", "o").alias("ta"), F.greatest("th", "o").alias("tb")).distinct()
+
+
+def shared_spans(records: DataFrame, fields: tuple[str, ...] = ("src", "rew"), span: int = SPAN, gram: int = GRAM, every_pair: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shared spans of the texts in `fields` of records (row_id, id) with different ids.
 
     Returns (owners, texts, pairs): owners (th, id, row_id, field) of the texts that share a span,
     texts (th, text) and pairs (ta, tb, spans) of text hashes with the verified spans, ta = tb where
     one text belongs to several ids. A null or empty text, one shorter than `span`, and a row of null id or
-    row_id share nothing. Copies of a text are one text; other columns are ignored.
+    row_id share nothing. Copies of a text are one text; other columns are ignored. Without `every_pair` the texts
+    of a stretch that more than CROWD texts share are only paired with one that stands for them all, which keeps
+    what each text shares and the components.
     """
     cols = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
     base = records.where("id is not null and row_id is not null").select("row_id", F.col("id").cast("string").alias("id"), F.explode(F.array(*cols)).alias("x")).select("row_id", "id", "x.field", "x.text")
@@ -142,11 +152,18 @@ def shared_spans(records: DataFrame, fields: tuple[str, ...] = ("src", "rew"), s
     counted = keys.select("key", "th").distinct().groupBy("key").count().where(F.col("count") > CROWD).select("key")
     crowded = cut(keys.join(counted, "key", "left_semi").groupBy("th").agg(F.collect_set("key").alias("keys")))
     many = keys.groupBy("th").agg(F.min("ih").alias("lo"), F.max("ih").alias("hi"))
+    stars = None
     if not crowded.isEmpty():
-        keys = keys.join(counted, "key", "left_anti").unionByName(_shared_only(_refined(rows, crowded, span, gram)))
+        refined = _shared_only(_refined(rows, crowded, span, gram))
+        keys = keys.join(counted, "key", "left_anti")
+        if every_pair:
+            keys = keys.unionByName(refined)
+        else:
+            stars = _starred(refined)
     a = keys.select("key", F.col("th").alias("ta"), F.col("ih").alias("ia"))
     b = keys.select("key", F.col("th").alias("tb"), F.col("ih").alias("ib"))
-    cand = cut(a.join(b, "key").where("ta < tb and ia <> ib").select("ta", "tb").distinct())
+    cand = a.join(b, "key").where("ta < tb and ia <> ib").select("ta", "tb")
+    cand = cut((cand if stars is None else cand.unionByName(stars)).distinct())
     same = many.where("lo < hi").select(F.col("th").alias("ta"), F.col("th").alias("tb"))
     wanted = cand.select(F.col("ta").alias("th")).union(cand.select("tb")).union(same.select("ta")).distinct()
     owned = base.join(wanted, "th", "left_semi")
@@ -188,7 +205,7 @@ def row_shares(records: DataFrame, fields: tuple[str, ...] = ("src", "rew"), spa
     0 where nothing is shared and null for a record without text. `cluster` is the least text hash of the
     connected texts (null where nothing is shared). Repeated rows of one row_id give one row.
     """
-    owners, texts, pairs = shared_spans(records, fields, span)
+    owners, texts, pairs = shared_spans(records, fields, span, every_pair=False)
     one = pairs.where("ta <> tb").select("ta", F.explode("spans").alias("s"), "tb")
     side = one.select(F.col("ta").alias("th"), F.col("s.sa").alias("at"), F.col("s.n").alias("n")).union(one.select("tb", "s.sb", "s.n"))
     # a text of several ids is found in another record as a whole

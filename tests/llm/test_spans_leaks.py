@@ -38,11 +38,14 @@ def test_leaks_brute_force(spark):
     assert leakage.contained(df, hs.limit(0)).count() == 0
 
 
-def test_leaks_in_blocks(spark, data, monkeypatch):
+def test_leaks_by_join(spark, data, monkeypatch):
+    """Passages too many for an index give the same rows."""
     docs, held = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "heldout"))
-    one = {(r.doc_id, r.id) for r in leakage.contained(docs, held).collect()}
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10_000)
-    assert {(r.doc_id, r.id) for r in leakage.contained(docs, held).collect()} == one
+    one = {(r.doc_id, r.id, round(r.containment, 9)) for r in leakage.contained(docs, held).collect()}
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
+    assert one and {(r.doc_id, r.id, round(r.containment, 9)) for r in leakage.contained(docs, held).collect()} == one
+    monkeypatch.setattr(leakage, "PARTITIONS", ((30, 1), (200, 2), (1 << 62, 3)))
+    assert {(r.doc_id, r.id, round(r.containment, 9)) for r in leakage.contained(docs, held).collect()} == one
 
 
 def _brute(rows, span):
@@ -71,6 +74,21 @@ def test_spans_brute_force(spark, crowd, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == _brute([x for x in rows if x[1]], 200)
 
 
+def test_crowded_shares(spark, monkeypatch):
+    """Boilerplate of many texts: each is compared with a few others only, shares and clusters stay the same."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ijklm") for _ in range(n))
+    boiler, other = text(260), text(230)
+    rows = [(r, f"i{r // 2}", text(rng.randint(0, 90)) + (boiler if r % 3 else other)[r % 5 :] + text(40), None if r % 4 else text(250)) for r in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, id string, src string, rew string")
+    plain = {tuple(r) for r in spans.row_shares(df).collect()}
+    full = spans.shared_spans(df)[2].count()
+    monkeypatch.setattr(spans, "CROWD", 4)
+    assert {tuple(r) for r in spans.row_shares(df).collect()} == plain and len({r[4] for r in plain}) == 2
+    assert spans.shared_spans(df, every_pair=False)[2].count() < full / 4
+    assert spans.shared_spans(df)[2].count() == full
+
+
 def test_row_shares(spark):
     a, b = "x1 y2 z3 " * 30, "".join(chr(97 + i * 7 % 26) + str(i) for i in range(200))
     rows = [(1, "p", b, "own text"), (2, "q", "lead " + b[:300] + " tail", None), (3, "r", a, ""), (4, "s", None, None)]

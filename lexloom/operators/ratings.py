@@ -1,4 +1,4 @@
-"""Rater sheets: last deliveries, unblinding, and complete matrices of raters."""
+"""Rater sheets: last deliveries, unblinding, and scores beside those of the other raters."""
 
 from __future__ import annotations
 
@@ -39,9 +39,9 @@ def long_scores(df: DataFrame) -> DataFrame:
     return df.select("item_id", "system", "rater", each).select("item_id", "system", "rater", "x.dim", "x.score").where("score is not null")
 
 
-def matrix(scores: DataFrame, raters: int = 3) -> DataFrame:
-    """(item_id, system, dim, r1, r2, r3): the first raters' scores of the cells that have so many."""
-    w = Window.partitionBy("item_id", "system", "dim").orderBy("rater")
-    top = scores.withColumn("k", F.row_number().over(w)).where(F.col("k") <= raters)
-    out = top.groupBy("item_id", "system", "dim").agg(*[F.max(F.when(F.col("k") == i + 1, F.col("score"))).alias(f"r{i + 1}") for i in range(raters)])
-    return out.where(f"r{raters} is not null")
+def beside(scores: DataFrame, least: int = 3) -> DataFrame:
+    """(item_id, system, dim, rater, score, n, others): each score of the cells with `least` scores or more, beside their
+    number and the mean of the cell's other scores. All raters of a cell count."""
+    cell = ["item_id", "system", "dim"]
+    sums = scores.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("score").alias("_s")).where(F.col("n") >= least)
+    return scores.join(sums, cell).select(*cell, "rater", "score", "n", F.round((F.col("_s") - F.col("score")) / (F.col("n") - 1), 9).alias("others"))

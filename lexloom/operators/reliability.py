@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.ranks import spearman
 
 
-def pairs(matrix: DataFrame, by: list[str], raters: int = 3) -> DataFrame:
-    """(by, pair, a, b): one row for each pair of raters of each row of the matrix."""
-    each = F.explode(F.array(*[F.struct(F.lit(f"{i}-{j}").alias("pair"), F.col(f"r{i}").alias("a"), F.col(f"r{j}").alias("b")) for i in range(1, raters + 1) for j in range(i + 1, raters + 1)])).alias("p")
-    return matrix.select(*by, each).select(*by, "p.*")
-
-
 def kappa(df: DataFrame, by: list[str], weighted: bool) -> DataFrame:
     """(by, n, kappa) of labels a and b: Cohen's kappa, with linear weights over the sorted labels seen if `weighted`; null where chance agreement is whole."""
     cells = df.where("a is not null and b is not null").groupBy(*by, "a", "b").agg(F.count("*").alias("c"))
@@ -29,32 +30,65 @@ def kappa(df: DataFrame, by: list[str], weighted: bool) -> DataFrame:
     return j.select(*by, "n", (1 - F.try_divide(F.col("o") * F.col("n"), F.nullif(F.col("e"), F.lit(0.0)))).alias("kappa"))
 
 
-def icc(matrix: DataFrame, by: list[str], raters: int = 3) -> DataFrame:
-    """(by, n, icc2k, icc3k): two-way average-measures intraclass correlations of complete rows, from sums of squares."""
-    r = [F.col(f"r{i}") for i in range(1, raters + 1)]
-    row = sum(r[1:], r[0])
-    sq = sum((x * x for x in r[1:]), r[0] * r[0])
-    a = matrix.groupBy(*by).agg(F.count("*").cast("double").alias("n"), F.sum(row).alias("t"), F.sum(row * row).alias("rr"), F.sum(sq).alias("q"), *[F.sum(x).alias(f"c{i}") for i, x in enumerate(r)])
-    k, n = raters, F.col("n")
-    mean = F.col("t") * F.col("t") / (n * k)
-    ssr = F.col("rr") / k - mean
-    ssc = sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(1, k)), F.col("c0") * F.col("c0")) / n - mean
-    msr, msc = F.try_divide(ssr, n - 1), ssc / (k - 1)
-    mse = F.try_divide(F.col("q") - mean - ssr - ssc, (n - 1) * (k - 1))
-    return a.select(*by, n.cast("long").alias("n"), F.try_divide(msr - mse, F.nullif(msr + (msc - mse) / n, F.lit(0.0))).alias("icc2k"), F.try_divide(msr - mse, F.nullif(msr, F.lit(0.0))).alias("icc3k"))
-
-
-def leave_one_out(matrix: DataFrame, by: list[str], raters: int = 3) -> DataFrame:
-    """(by, rho): mean over the raters of the rank correlation of each with the mean of the others."""
-    total = sum((F.col(f"r{i}") for i in range(2, raters + 1)), F.col("r1"))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("rater"), F.col(f"r{i}").alias("x"), F.round((total - F.col(f"r{i}")) / (raters - 1), 9).alias("y")) for i in range(1, raters + 1)])).alias("e")
-    return spearman(matrix.select(*by, each).select(*by, "e.*"), [*by, "rater"], "x", "y").groupBy(*by).agg(F.avg("rho").alias("rho"))
-
-
-def spearman_brown(icc3: Column, to: int = 3, of: int = 2) -> dict[str, Column]:
-    """Single-rater reliability behind an average of three, that of k raters, and the factor from `of` to `to` raters."""
-    single = icc3 / (3 - 2 * icc3)
-    rel = lambda k: k * single / (1 + (k - 1) * single)
+def pooled_kappa(df: DataFrame, by: list[str], cell: list[str], label: str, labels: list, weighted: bool) -> DataFrame:
+    """(by, n, kappa): chance-corrected agreement over all pairs of labels of a cell, each pair once and in both orders.
+
+    From the counts of each label in a cell, so that a cell may have any number of raters; with two raters a cell it is
+    Cohen's kappa of the symmetric table. Linear weights over `labels` if `weighted`; null where chance agreement is whole.
+    """
+    k = len(labels)
+    w = lambda i, j: abs(i - j) if weighted else 1
+    c = [F.col(f"_c{i}") for i in range(k)]
+    cells = df.where(F.col(label).isin(*labels)).groupBy(*by, *cell).agg(*[F.count_if(F.col(label) == x).cast("double").alias(f"_c{i}") for i, x in enumerate(labels)])
+    cells = cells.withColumn("_n", sum(c[1:], c[0])).where("_n > 1")
+    cross = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    unlike = lambda x: sum((w(i, j) * x[i] * x[j] for i, j in cross), F.lit(0.0))
+    a = cells.groupBy(*by).agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).alias("_p"), F.sum(unlike(c)).alias("_o"), *[F.sum((F.col("_n") - 1) * x).alias(f"_m{i}") for i, x in enumerate(c)])
+    chance = 2 * unlike([F.col(f"_m{i}") for i in range(k)]) / (4 * F.col("_p") * F.col("_p"))
+    return a.select(*by, F.col("_p").cast("long").alias("n"), (1 - F.try_divide(F.col("_o") / F.col("_p"), F.nullif(chance, F.lit(0.0)))).alias("kappa"))
+
+
+def _centred(beside: DataFrame, by: list[str], cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sums of each cell of the scores less their rater's mean: (by, cell, n, t, q); and (by, raters, ssc) of the raters."""
+    means = beside.groupBy(*by, "rater").agg(F.count("*").alias("_nj"), F.avg("score").alias("_mj"))
+    x = F.col("score") - F.col("_mj")
+    cells = beside.join(means, [*by, "rater"]).groupBy(*by, *cell).agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("t"), F.sum(x * x).alias("q"))
+    s = F.sum(F.col("_nj") * F.col("_mj"))
+    return cells, means.groupBy(*by).agg(F.count("*").cast("double").alias("raters"), (F.sum(F.col("_nj") * F.col("_mj") * F.col("_mj")) - s * s / F.sum("_nj")).alias("ssc"))
+
+
+def _mean_squares(cells: Column, total: Column, a: Column, t: Column, q: Column, raters: Column) -> tuple[Column, Column]:
+    """Mean squares of the cells and of the rest, from the numbers of cells and scores and the sums of t*t/n, t and q."""
+    return F.try_divide(a - t * t / total, cells - 1), F.try_divide(q - a, total - cells - raters + 1)
+
+
+def icc(beside: DataFrame, by: list[str], cell: list[str]) -> DataFrame:
+    """(by, n, k, icc2k, icc3k): average-measures intraclass correlations over all raters, each cell with its own number of them.
+
+    Sums of squares of cells and of the rest are taken after the raters' means, so that for a complete table of
+    raters the values are those of the two-way analysis. `k` is the effective number of scores a cell.
+    """
+    cells, raters = _centred(beside, by, cell)
+    a = cells.groupBy(*by).agg(F.count("*").cast("double").alias("m"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("a"), F.sum("t").alias("t"), F.sum("q").alias("q"))
+    j = a.join(raters, by) if by else a.crossJoin(F.broadcast(raters))  # one row each
+    msr, mse = _mean_squares(F.col("m"), F.col("total"), F.col("a"), F.col("t"), F.col("q"), F.col("raters"))
+    j = j.withColumns({"msr": msr, "mse": mse, "msc": F.try_divide(F.col("ssc"), F.col("raters") - 1)})
+    wide = F.col("msr") + (F.col("msc") - F.col("mse")) * F.col("raters") / F.col("total")
+    k = F.try_divide(F.col("total") - F.col("nn") / F.col("total"), F.col("m") - 1)
+    return j.select(*by, F.col("m").cast("long").alias("n"), k.alias("k"), F.try_divide(F.col("msr") - F.col("mse"), F.nullif(wide, F.lit(0.0))).alias("icc2k"), F.try_divide(F.col("msr") - F.col("mse"), F.nullif("msr", F.lit(0.0))).alias("icc3k"))
+
+
+def leave_one_out(beside: DataFrame, by: list[str]) -> DataFrame:
+    """(by, raters, rho): mean over the raters of the rank correlation of each with the mean of the cell's others; a rater needs five scores."""
+    each = spearman(beside, [*by, "rater"], "score", "others").where("rho is not null")
+    return each.groupBy(*by).agg(F.count("*").alias("raters"), F.avg("rho").alias("rho"))
+
+
+def spearman_brown(icc3: Column, k: Column | float = 3, to: int = 3, of: int = 2) -> dict[str, Column]:
+    """Single-rater reliability behind an average of `k`, that of `of` and `to` raters, and the factor between them."""
+    k = F.lit(k) if not isinstance(k, Column) else k
+    single = icc3 / (k - (k - 1) * icc3)
+    rel = lambda m: m * single / (1 + (m - 1) * single)
     return {"single": single, f"rel{of}": rel(of), f"rel{to}": rel(to), "factor": F.sqrt(F.try_divide(rel(to), rel(of)))}
 
 
@@ -81,28 +115,132 @@ def calibration(df: DataFrame, by: list[str], confidence: str, correct: str, bin
     return g.groupBy(*by).agg(F.sum("m").alias("n"), (F.sum(gap) / F.sum("m")).alias("ece"))
 
 
-def draws(clusters: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
-    """(b, key, times): how often each cluster is drawn in each of `rounds` resamples of as many clusters as there are.
+#: Cumulative probabilities of a Poisson count of mean 1, in 65,536ths: a draw is the number of them that a 16-bit number reaches.
+POISSON = [int(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+BLOCK = 200  # resamples that one task works on
 
-    Draw (b, i) takes the cluster at position MD5(seed, b, i) modulo the number of clusters in the order of
-    their keys, so that the resamples are the same wherever they are made.
-    """
-    from lexloom.operators.relational import bucket, numbered
 
-    c = numbered(clusters.select(key).distinct(), [key], "at")
-    n = c.count()
-    if not n:
-        return c.select(F.lit(0).alias("b"), key, F.lit(0).cast("long").alias("times")).limit(0)
-    spark = clusters.sparkSession
-    grid = spark.range(rounds * n).select((F.col("id") % rounds).cast("int").alias("b"), F.floor(F.col("id") / rounds).alias("i"))
-    at = bucket(F.concat_ws(":", "b", "i"), f"{seed}:", n) + 1
-    return grid.select("b", at.alias("at")).groupBy("b", "at").agg(F.count("*").alias("times")).join(c, "at").select("b", key, "times")
+def times(keys: list[str], seed: int, first: int, rounds: int) -> np.ndarray:
+    """(keys, rounds): how often each cluster is drawn in resamples `first`.. (a multiple of 8), Poisson counts of mean 1 each.
+
+    Resample 8 j + i takes the i-th 16 bits of MD5(seed:j:key), so that a draw depends on its cluster alone: no cluster
+    needs a number, none is joined, and the resamples are the same wherever they are made.
+    """
+    out = np.zeros((len(keys), -(-rounds // 8) * 8), np.int8)
+    for r, key in enumerate(keys):
+        raw = b"".join(hashlib.md5(f"{seed}:{j}:{key}".encode()).digest() for j in range(first // 8, first // 8 + out.shape[1] // 8))
+        out[r] = np.searchsorted(POISSON, np.frombuffer(raw, ">u2"), side="right")
+    return out[:, :rounds]
 
 
 def resampled(df: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
-    """The rows of every resample, each row as often as its cluster was drawn, with the resample's number `b`."""
-    d = draws(df, key, rounds, seed)
-    return df.join(d, key).withColumn("_t", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_t", "times")
+    """The rows of every resample, each row as often as its cluster was drawn, with the resample's number `b`.
+
+    For small tables; `bootstrap_spearman` and the like weigh rows instead of repeating them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("_key").to_pylist()
+            t = times(keys, seed, 0, rounds)
+            r, b = np.nonzero(t)
+            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(r)), pa.array(b, pa.int32()), pa.array(t[r, b], pa.int32())], ["_key", "b", "_n"])
+
+    d = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_key")).distinct().mapInArrow(run, "_key string, b int, _n int")
+    each = d.select("_key", "b", F.explode(F.sequence(F.lit(1), "_n")))
+    return df.join(each.select("_key", "b"), F.col(key).cast("string") == F.col("_key")).drop("_key")
+
+
+def _ranks(values: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each value in each column of the weights, ties sharing the mean of their places; weight of each distinct value)."""
+    u, inv = np.unique(values, return_inverse=True)
+    order = np.argsort(inv, kind="stable")
+    n = np.add.reduceat(w[order], np.searchsorted(inv[order], np.arange(len(u))), 0)
+    return (np.cumsum(n, 0) - n + (n + 1) / 2)[inv], n
+
+
+def _in_blocks(df: DataFrame, rounds: int) -> DataFrame:
+    """Each row once for each block of resamples."""
+    return df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // BLOCK) - 1))))
+
+
+def bootstrap_spearman(df: DataFrame, key: str, x: str, y: str, rounds: int, seed: int, least: int = 5) -> DataFrame:
+    """(b, n, rho): the rank correlation of x and y in each resample of the clusters of `key`, with ranks anew in each.
+
+    The rows are first counted by cluster and value pair. A task takes BLOCK resamples over all counted rows, so their number
+    should stay within some millions; rows are never repeated.
+    """
+    v = df.where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    v = v.groupBy(F.col(key).cast("string").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first = int(g["block"].iloc[0]) * BLOCK
+        size = min(BLOCK, rounds - first)
+        keys, at = np.unique(g["k"].to_numpy(str), return_inverse=True)
+        w = times(list(keys), seed, first, size)[at].astype(float) * g["c"].to_numpy()[:, None]
+        n = w.sum(0)
+        (rx, _), (ry, _) = _ranks(g["x"].to_numpy(), w), _ranks(g["y"].to_numpy(), w)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rx, ry = rx - (w * rx).sum(0) / n, ry - (w * ry).sum(0) / n
+            rho = (w * rx * ry).sum(0) / np.sqrt((w * rx * rx).sum(0) * (w * ry * ry).sum(0))
+        rho = np.where((n >= least) & np.isfinite(rho), rho, np.nan)
+        return pd.DataFrame({"b": np.arange(first, first + size), "n": n.astype(np.int64), "rho": [None if np.isnan(r) else r for r in rho]})
+
+    return _in_blocks(v, rounds).groupBy("block").applyInPandas(run, "b int, n long, rho double")
+
+
+def bootstrap_signed_rank(df: DataFrame, by: str, key: str, diff: str, rounds: int, seed: int) -> DataFrame:
+    """(by, b) and the columns of `signed_rank`, in each resample of the clusters of `key`; bounds as in `bootstrap_spearman`."""
+    v = df.where(F.col(key).isNotNull() & F.col(diff).isNotNull()).groupBy(by, F.col(key).cast("string").alias("k"), F.col(diff).cast("double").alias("d")).agg(F.count("*").alias("c"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        first = int(g["block"].iloc[0]) * BLOCK
+        size = min(BLOCK, rounds - first)
+        keys, at = np.unique(g["k"].to_numpy(str), return_inverse=True)
+        w = times(list(keys), seed, first, size)[at].astype(float) * g["c"].to_numpy()[:, None]
+        d = g["d"].to_numpy()
+        live = d != 0
+        zero = w[~live].sum(0)
+        plus = minus = ties = np.zeros(size)
+        if live.any():
+            r, n = _ranks(np.abs(d[live]), w[live])
+            plus, minus = (w[live] * r * (d[live] > 0)[:, None]).sum(0), (w[live] * r * (d[live] < 0)[:, None]).sum(0)
+            ties = (n**3 - n).sum(0)
+        all_ = w.sum(0)
+        out = pd.DataFrame({"b": np.arange(first, first + size), "n_pairs": all_.astype(np.int64), "n_zero": zero.astype(np.int64), "n": (all_ - zero).astype(np.int64), "w_plus": plus, "w_minus": minus, "w": np.minimum(plus, minus), "ties": ties})
+        out.insert(0, by, g[by].iloc[0])
+        return out[out.n_pairs > 0]
+
+    return _in_blocks(v, rounds).groupBy(by, "block").applyInPandas(run, f"{by} string, b int, n_pairs long, n_zero long, n long, w_plus double, w_minus double, w double, ties double")
+
+
+def bootstrap_icc(beside: DataFrame, by: str, cell: list[str], key: str, rounds: int, seed: int) -> DataFrame:
+    """(by, b, icc3k): the average-measures correlation in each resample of the clusters of `key` (one of `cell`).
+
+    Each cluster enters with five sums; the raters' means are those of the whole table. A task returns five sums for each
+    resample, however many clusters it holds.
+    """
+    cells, raters = _centred(beside, [by], cell)
+    stats = cells.groupBy(by, F.col(key).cast("string").alias("k")).agg(F.count("*").cast("double").alias("m"), F.sum("n").alias("n"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("a"), F.sum("t").alias("t"), F.sum("q").alias("q"))
+    names = ("m", "n", "a", "t", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            group = np.array(batch.column(by).to_pylist(), object)
+            x = np.stack([batch.column(c).to_numpy() for c in names], 1)
+            keys, at = np.unique(np.array(batch.column("k").to_pylist(), str), return_inverse=True)
+            for lo in range(0, len(keys), 1000):
+                t = times(list(keys[lo : lo + 1000]), seed, 0, rounds).astype(float)
+                for g in sorted(set(group)):
+                    rows = np.flatnonzero((group == g) & (at >= lo) & (at < lo + 1000))
+                    total[g] = total.get(g, 0) + t[at[rows] - lo].T @ x[rows]
+        for g, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * rounds), pa.array(np.arange(rounds), pa.int32()), *[pa.array(s[:, i]) for i in range(5)]], [by, "b", *names])
+
+    sums = stats.mapInArrow(run, f"{by} string, b int, m double, n double, a double, t double, q double").groupBy(by, "b").agg(*[F.sum(c).alias(c) for c in names]).join(raters, by)
+    msr, mse = _mean_squares(F.col("m"), F.col("n"), F.col("a"), F.col("t"), F.col("q"), F.col("raters"))
+    return sums.withColumns({"msr": msr, "mse": mse}).select(by, "b", F.try_divide(F.col("msr") - F.col("mse"), F.nullif("msr", F.lit(0.0))).alias("icc3k"))
 
 
 def interval(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -141,11 +141,12 @@ kh as (select distinct rater, item_id, true as has from k0),
 ub as (select sh.*, coalesce(own, case when has is null then other end) as system from sh left join k0 using (rater, item_id, label) left join kh using (rater, item_id) left join ko using (item_id, label)),
 u as (select * from ub where system is not null)"""
 Q_LONG = f"lg as (select item_id, system, rater, dim, score::double as score from u unpivot (score for dim in ({', '.join(C.DIMS)})))"
-Q_MATRIX = "mx as (select item_id, system, dim, max(score) filter (k = 1) as r1, max(score) filter (k = 2) as r2, max(score) filter (k = 3) as r3 from (select *, row_number() over (partition by item_id, system, dim order by rater) as k from lg) where k <= 3 group by all having max(score) filter (k = 3) is not null)"
+Q_MATRIX = "mx as (select item_id, system, dim, rater, score, n, round((s - score) / (n - 1), 9) as others from lg join (select item_id, system, dim, count(*) as n, sum(score) as s from lg group by all having count(*) >= 3) using (item_id, system, dim))"
 
 
 def rater_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return R.matrix(R.long_scores(_sheets(spark, d)))
+    """Each score beside the number and the mean of its cell's others, over all raters."""
+    return R.beside(R.long_scores(_sheets(spark, d)))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

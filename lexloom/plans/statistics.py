@@ -135,10 +135,12 @@ def level_split_rho(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_swap(spark: SparkSession, d: str) -> DataFrame:
-    """Two arms (first and second rater of a cell) by dimension: means, difference, exact agreement and correlation."""
-    m = REL.rater_matrix(spark, d)
-    a = m.groupBy("dim").agg(rnd(F.avg("r1"), "mean_a"), rnd(F.avg("r2"), "mean_b"), rnd(F.avg("r2") - F.avg("r1"), "delta"), rnd(100 * F.avg((F.col("r1") == F.col("r2")).cast("double")), "exact"))
-    return a.join(R.spearman(m, ["dim"], "r1", "r2").select("dim", "n", rnd("rho")), "dim")
+    """Two arms (the raters of even and of odd hash) by dimension: means over the cells that both saw, difference, equal means and correlation."""
+    arm = F.conv(F.substring(F.md5(F.concat(F.lit("arm:"), "rater").cast("binary")), 32, 1), 16, 10).cast("int") % 2
+    mean = lambda k: F.round(F.avg(F.when(arm == k, F.col("score"))), 9)
+    m = _long(spark, d).groupBy("item_id", "system", "dim").agg(mean(0).alias("a"), mean(1).alias("b")).where("a is not null and b is not null")
+    g = m.groupBy("dim").agg(rnd(F.avg("a"), "mean_a"), rnd(F.avg("b"), "mean_b"), rnd(F.avg("b") - F.avg("a"), "delta"), rnd(100 * F.avg((F.col("a") == F.col("b")).cast("double")), "exact"))
+    return g.join(R.spearman(m, ["dim"], "a", "b").select("dim", "n", rnd("rho")), "dim")
 
 
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +204,6 @@ SQL = {
     "within_system_spearman": f"with {_LENS}, z as ({_rho('tl', 'system', 'human', 'judge').replace('round(case', '(case').replace('end, 9)', 'end)')}) select count(rho) as n_systems, round(avg(rho), 9) as mean_rho from z where rho is not null",
     "partial_spearman": f"with {_LENS}, r as (select {q_rank('human', '')} as a, {q_rank('judge', '')} as b, {q_rank('fre', '')} as c from tl where human is not null and judge is not null and fre is not null), z as (select count(*) as n, {_corr('a', 'b')} as ab, {_corr('a', 'c')} as ac, {_corr('b', 'c')} as bc from r) select n, round((ab - ac * bc) / sqrt((1 - ac * ac) * (1 - bc * bc)), 9) as rho from z",
     "level_split_rho": f"with {_LENS}, pm as (select id, lv, round(avg(human), 9) as human, round(avg(judge), 9) as judge from tl group by all), a as ({_rho('tl', 'lv', 'human', 'judge')}), b as ({_rho('pm', 'lv', 'human', 'judge')}) select 'cell' as unit, lv, n, rho from a union all select 'passage', lv, n, rho from b",
-    "order_swap": f"with {_LONG}, {REL.Q_MATRIX}, a as (select dim, round(avg(r1), 9) as mean_a, round(avg(r2), 9) as mean_b, round(avg(r2) - avg(r1), 9) as delta, round(100 * avg((r1 = r2)::int::double), 9) as exact from mx group by dim), b as ({_rho('mx', 'dim', 'r1', 'r2')}) select * from a join b using (dim)",
+    "order_swap": f"with {_LONG}, am as (select item_id, system, dim, round(avg(score) filter (right(md5('arm:' || rater), 1) in ('0', '2', '4', '6', '8', 'a', 'c', 'e')), 9) as a, round(avg(score) filter (right(md5('arm:' || rater), 1) not in ('0', '2', '4', '6', '8', 'a', 'c', 'e')), 9) as b from lg group by all), mx as (select * from am where a is not null and b is not null), x as (select dim, round(avg(a), 9) as mean_a, round(avg(b), 9) as mean_b, round(avg(b) - avg(a), 9) as delta, round(100 * avg((a = b)::int::double), 9) as exact from mx group by dim), y as ({_rho('mx', 'dim', 'a', 'b')}) select * from x join y using (dim)",
     "bh_fdr": f"with {Q_ROWS}, p as (select tag, id, lv, contra as p from h where contra is not null), r as (select *, count(*) over (partition by tag, lv) as n, row_number() over (partition by tag, lv order by p) as r from p), q as (select tag, id, lv, r, greatest(1e-300, p) * n / r as q from r) select tag, id, lv, round(min(q) over (partition by tag, lv order by r desc rows between unbounded preceding and current row), 9) as q from q",
 }

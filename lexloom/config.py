@@ -63,3 +63,6 @@ GATE_NOTES = {
     "term": "TERMS: keep these legal terms: ",
     "fmt": "FORMAT: give only the rewrite.",
 }
+
+#: The system whose rewrites the others are compared with.
+REFERENCE = "tuned"

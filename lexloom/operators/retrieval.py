@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,16 +90,58 @@ def term_context(terms: Column, definitions: Column, most: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(terms, 1, most), line), "\n")
 
 
-def aligned_sentences(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """(keys, pos, match, jaccard): for each sentence of `left` the first sentence of `right` of greatest word Jaccard; none if all are 0.
+def aligned_sentences(left: Column, right: Column) -> Column:
+    """For each sentence of `left` (an array) the first sentence of `right` of greatest word Jaccard: structs (match, jaccard), null if all are 0.
 
-    `left` and `right` are arrays of sentences of one row; only sentences of one row meet.
+    Works within the row: only its own sentences meet and nothing is shuffled.
     """
     from lexloom.functions import text as T
 
-    a = pairs.select(*keys, F.posexplode(left).alias("pos", "_l"), F.col(right).alias("_r"))
-    a = a.select(*keys, "pos", F.array_distinct(T.lower_tokens("_l")).alias("_x"), F.posexplode("_r").alias("match", "_s"))
-    a = a.withColumn("_y", F.array_distinct(T.lower_tokens("_s")))
-    a = a.withColumn("jaccard", F.coalesce(F.try_divide(F.size(F.array_intersect("_x", "_y")).cast("double"), F.size(F.array_union("_x", "_y"))), F.lit(0.0)))
-    best = a.where("jaccard > 0").groupBy(*keys, "pos").agg(F.max(F.struct("jaccard", (-F.col("match")).alias("m"))).alias("x"))
-    return best.select(*keys, "pos", (-F.col("x.m")).alias("match"), F.col("x.jaccard").alias("jaccard"))
+    sets = lambda c: F.transform(c, lambda x: F.array_distinct(T.lower_tokens(x)))
+    jaccard = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
+    best = lambda x: F.array_max(F.transform(sets(right), lambda y, i: F.struct(jaccard(x, y).alias("jaccard"), (-i).alias("m"))))
+    return F.transform(F.transform(sets(left), best), lambda b: F.when(b["jaccard"] > 0, F.struct((-b["m"]).alias("match"), b["jaccard"].alias("jaccard"))))
+
+
+def ngram_matches(df: DataFrame, by: str, out: str, ref: str, most: int = 5) -> DataFrame:
+    """(by, n, matched, total): n-grams of the word arrays `out`, and those of them that `ref` of the same row holds, each as often as there.
+
+    A batch numbers its words and compares counted n-grams row by row in arrays; only the sums leave a task. Null
+    arrays have no n-grams.
+    """
+
+    def grams(col: pa.Array, words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number) of each n-gram: numbers are those of equal n-grams within the batch."""
+        flat = pc.index_in(col.flatten(), words).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(size)), size)
+        k = max(len(flat) - n + 1, 0)
+        at = np.flatnonzero(row[:k] == row[n - 1 : n - 1 + k])
+        return row[at], np.stack([flat[at + i] for i in range(n)], 1)
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column("g").to_pylist()
+            o, r = batch.column("o"), batch.column("r")
+            words = pc.unique(pa.concat_arrays([o.flatten(), r.flatten()]))
+            of = {g: i for i, g in enumerate(dict.fromkeys(group))}
+            at = np.array([of[g] for g in group])
+            for n in range(1, most + 1):
+                (ro, go), (rr, gr) = grams(o, words, n), grams(r, words, n)
+                u, inv = np.unique(np.concatenate([np.column_stack([ro, go]), np.column_stack([rr, gr])]), axis=0, return_inverse=True)
+                inv = inv.ravel()
+                co, cr = np.bincount(inv[: len(ro)], minlength=len(u)), np.bincount(inv[len(ro) :], minlength=len(u))
+                total = np.bincount(at[ro], minlength=len(of))
+                matched = np.bincount(at[u[:, 0]], np.minimum(co, cr), len(of)) if len(u) else np.zeros(len(of))
+                for g, i in of.items():
+                    a = sums.setdefault((g, n), [0, 0])
+                    a[0] += int(matched[i])
+                    a[1] += int(total[i])
+        keys = list(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *[pa.array([sums[k][i] for k in keys], pa.int64()) for i in (0, 1)]], [by, "n", "matched", "total"])
+
+    parts = df.select(F.col(by).cast("string").alias("g"), F.col(out).alias("o"), F.col(ref).alias("r")).mapInArrow(run, f"{by} string, n int, matched long, total long")
+    return parts.groupBy(by, "n").agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))

@@ -12,13 +12,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns that hold texts or structures; rows that carry them are not sorted or shuffled to drop redeliveries.
+WIDE = frozenset(["src", "rew", "parts", "nli"])
+#: Up to so many row ids of overtaken deliveries (8 MB) are broadcast.
+OVERTAKEN = 1_000_000
+
+
+def _parts(df: DataFrame) -> int:
+    """Number of parts that the scan of a table has."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def scored(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """The last delivery of each (tag, id, lv) with a plain lower-case `lv`, of only the columns asked for."""
+    """The last delivery of each (tag, id, lv) with a plain lower-case `lv`, of only the columns asked for.
+
+    The overtaken deliveries are found on the narrow columns. They are few, so wide rows drop them by a broadcast of
+    their row ids, whose number is checked. Beyond the bound, for narrow rows, and where the scan has too few parts to
+    occupy the cores (so that the heavy expressions that follow need a shuffle), the window carries the columns.
+    """
     rows = table(spark, sf_dir, "scored").withColumn("lv", F.lower(F.trim("lv")))
-    rows = rows.select("tag", "id", "lv", "row_id", "received_at", *[c for c in cols if c not in ("tag", "id", "lv", "row_id", "received_at")])
-    w = Window.partitionBy("tag", "id", "lv").orderBy(F.desc_nulls_last("received_at"), F.desc("row_id"))
-    rows = rows.withColumn("k", F.row_number().over(w)).where("k = 1")
-    return rows.select("tag", "id", "lv", *[c for c in cols if c not in ("tag", "id", "lv")])
+    key = ["tag", "id", "lv"]
+    keep = [c for c in cols if c not in key]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc_nulls_last("received_at"), F.desc("row_id")))
+    if WIDE & set(cols) and _parts(rows) >= spark.sparkContext.defaultParallelism:
+        overtaken = rows.select(*key, "row_id", "received_at").withColumn("k", place).where("k > 1").select("row_id")
+        if overtaken.count() <= OVERTAKEN:
+            return rows.join(F.broadcast(overtaken), "row_id", "left_anti").select(*key, *keep)
+    rows = rows.select(*key, "row_id", "received_at", *[c for c in keep if c not in ("row_id", "received_at")])
+    return rows.withColumn("k", place).where("k = 1").select(*key, *keep)
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom import config as C
 from lexloom.functions import rewards as RW
 from lexloom.functions import text as T
 from lexloom.operators import retrieval as R
 from lexloom.plans import kit as K
-from lexloom.plans.texts import _TRIPLE
+from lexloom.plans.texts import _SARI, _SARI_GRAMS, _TRIPLE
 
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
@@ -104,70 +103,72 @@ _DEFS = "td as (select map_from_entries(list((term, definition))) as defs from t
 
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
-    """Source, rewrite of one system and rewrite of another as reference, by (id, lv)."""
-    a = K.scored(spark, d, "src", "rew").where("tag = 'base' and src is not null and rew is not null").select("id", "lv", "src", "rew")
-    b = K.scored(spark, d, "rew").where("tag = 'tuned' and rew is not null").select("id", "lv", F.col("rew").alias("ref"))
-    return a.join(b, ["id", "lv"])
+    """Source and rewrite of each system, beside the rewrite of the reference system, by (tag, id, lv)."""
+    s = K.scored(spark, d, "src", "rew").where("rew is not null")
+    ref = s.where(F.col("tag") == C.REFERENCE).select("id", "lv", F.col("rew").alias("ref"))
+    return s.where((F.col("tag") != C.REFERENCE) & F.col("src").isNotNull()).join(ref, ["id", "lv"])
+
+
+_KEY = ["tag", "id", "lv"]
 
 
 def sentence_align(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d).select("id", "lv", T.sentences("rew").alias("l"), T.sentences("src").alias("r"))
-    return R.aligned_sentences(t, ["id", "lv"], "l", "r").select("id", "lv", "pos", "match", F.round("jaccard", 9).alias("jaccard"))
+    t = _triples(spark, d).select(*_KEY, T.sentences("rew").alias("l"), T.sentences("src").alias("r"))
+    a = t.select(*_KEY, F.posexplode(R.aligned_sentences(F.col("l"), F.col("r"))).alias("pos", "x")).where("x is not null")
+    return a.select(*_KEY, "pos", "x.match", F.round("x.jaccard", 9).alias("jaccard"))
 
 
 def sari_doc(spark: SparkSession, d: str) -> DataFrame:
     """Mean simplification score over the rewrite's sentences, each against its aligned sentences of source and reference (the whole where none aligns); 0 without sentences."""
-    t = _triples(spark, d)
-    s = t.select("id", "lv", T.sentences("rew").alias("l"), T.sentences("src").alias("s"), T.sentences("ref").alias("r"), "src", "ref")
-    by_src = R.aligned_sentences(s, ["id", "lv"], "l", "s").select("id", "lv", "pos", F.col("match").alias("ms"))
-    by_ref = R.aligned_sentences(s, ["id", "lv"], "l", "r").select("id", "lv", "pos", F.col("match").alias("mr"))
-    out = s.select("id", "lv", F.posexplode("l").alias("pos", "o"), "s", "r", "src", "ref").join(by_src, ["id", "lv", "pos"], "left").join(by_ref, ["id", "lv", "pos"], "left")
-    pick = lambda arr, at, whole: F.coalesce(F.try_element_at(F.col(arr), F.col(at) + 1), F.col(whole))
-    out = out.select("id", "lv", T.words("o").alias("o"), T.words(pick("r", "mr", "ref")).alias("r"), T.words(pick("s", "ms", "src")).alias("s"))
-    score = out.groupBy("id", "lv").agg(F.avg(RW.simplification(F.col("o"), F.col("r"), F.col("s"))).alias("sari"))
-    return t.select("id", "lv").join(score, ["id", "lv"], "left").select("id", "lv", F.round(F.coalesce("sari", F.lit(0.0)), 9).alias("sari"))
+    t = _triples(spark, d).select(*_KEY, "src", "ref", T.sentences("rew").alias("l"), T.sentences("src").alias("s"), T.sentences("ref").alias("r"))
+    t = t.withColumn("x", F.arrays_zip("l", R.aligned_sentences(F.col("l"), F.col("s")).alias("ms"), R.aligned_sentences(F.col("l"), F.col("r")).alias("mr")))
+    out = t.select(*_KEY, "s", "r", "src", "ref", F.explode_outer("x").alias("x"))
+    pick = lambda arr, at, whole: F.coalesce(F.try_element_at(F.col(arr), F.col(f"x.{at}.match") + 1), F.col(whole))
+    out = out.select(*_KEY, F.col("x").isNotNull().alias("any"), T.words("x.l").alias("o"), T.words(pick("r", "mr", "ref")).alias("r"), T.words(pick("s", "ms", "src")).alias("s"))
+    score = F.avg(F.when(F.col("any"), RW.simplification(F.col("o"), F.col("r"), F.col("s"))))
+    return out.groupBy(*_KEY).agg(F.round(F.coalesce(score, F.lit(0.0)), 9).alias("sari"))
 
 
-def _bleu_counts(spark: SparkSession, d: str) -> DataFrame:
-    """(n, matched, total) clipped n-gram matches of rewrites against references over the corpus."""
-    t = _triples(spark, d).select("id", "lv", T.words("rew").alias("o"), T.words("ref").alias("r"))
-    grams = lambda side, name: t.select("id", "lv", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams(F.col(side), n).alias("g")) for n in range(1, 5)])).alias("x")).select("id", "lv", "x.n", F.explode("x.g").alias("g")).groupBy("id", "lv", "n", "g").agg(F.count("*").alias(name))
-    j = grams("o", "co").join(grams("r", "cr"), ["id", "lv", "n", "g"], "left")
-    return j.groupBy("n").agg(F.sum(F.least("co", F.coalesce("cr", F.lit(0)))).alias("matched"), F.sum("co").alias("total"))
+def sari_systems(spark: SparkSession, d: str) -> DataFrame:
+    """Mean simplification score of each system and level over its sentences."""
+    return sari_doc(spark, d).groupBy("tag", "lv").agg(F.count("*").alias("n"), F.round(F.avg("sari"), 9).alias("sari"))
 
 
 def corpus_bleu(spark: SparkSession, d: str) -> DataFrame:
-    """Corpus overlap of rewrites with references: four precisions, brevity penalty and their product."""
-    c = _bleu_counts(spark, d).agg(*[F.sum(F.when(F.col("n") == n, F.try_divide(F.col("matched").cast("double"), F.col("total")))).alias(f"p{n}") for n in range(1, 5)])
-    size = _triples(spark, d).agg(F.sum(T.word_count("rew")).cast("double").alias("o"), F.sum(T.word_count("ref")).cast("double").alias("r"))
-    j = c.crossJoin(F.broadcast(size))  # one row each
+    """Overlap of each system's rewrites with the reference system's over the corpus: four precisions, brevity penalty, their product, and the smoothed value."""
+    t = _triples(spark, d).select("tag", T.words("rew").alias("o"), T.words("ref").alias("r"))
+    p = R.ngram_matches(t, "tag", "o", "r", 5)
+    size = t.groupBy("tag").agg(F.sum(F.size("o")).alias("o"), F.sum(F.size("r")).alias("r"))
+    at = lambda c: F.map_from_entries(F.collect_list(F.struct("n", c)))  # noqa: E731  five entries
+    j = p.groupBy("tag").agg(at("matched").alias("m"), at("total").alias("t")).join(size, "tag").withColumns({"o": F.col("o").cast("double"), "r": F.col("r").cast("double")})
+    prec = {n: F.try_divide(F.element_at("m", F.lit(n)).cast("double"), F.element_at("t", F.lit(n))) for n in range(1, 6)}
     bp = F.when(F.col("o") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "o")))
-    logs = sum((F.log(F.col(f"p{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
-    return j.select(*[F.round(f"p{n}", 9).alias(f"p{n}") for n in range(1, 5)], F.round(bp, 9).alias("brevity"), F.round(bp * F.exp(logs), 9).alias("bleu"))
-
-
-def smoothed_bleu(matched: list[int], total: list[int], out_words: int, ref_words: int) -> float:
-    """Corpus overlap with interpolated smoothing: empty precisions are floored by halving, then each is averaged with its neighbours."""
-    p, missing = [], 0
-    for m, t in zip(matched, total):
-        if m == 0:
-            missing += 1
-            p.append(1 / (2**missing * max(t, 1)) * 5 / math.log(max(out_words, 2)))
-        else:
-            p.append(m / t)
-    p = [*p, p[-1]]
-    before = p[0] + 1
-    smooth = []
-    for i in range(len(matched)):
-        before = (before + p[i] + p[i + 1]) / 3
+    logs = sum((F.log(prec[n]) for n in range(1, 5)), F.lit(0.0)) / 4
+    # empty precisions are floored by halving, then each is averaged with its neighbours
+    floored, empty = [], F.lit(0)
+    for n in range(1, 6):
+        empty = empty + F.when(F.element_at("m", F.lit(n)) == 0, 1).otherwise(0)
+        floor = 5.0 / (F.pow(F.lit(2.0), empty) * F.greatest(F.element_at("t", F.lit(n)), F.lit(1))) / F.log(F.greatest(F.col("o"), F.lit(2.0)))
+        floored.append(F.when(F.element_at("m", F.lit(n)) == 0, floor).otherwise(prec[n]))
+    before, smooth = floored[0] + 1, []
+    for i in range(4):
+        before = (before + floored[i] + floored[i + 1]) / 3
         smooth.append(before)
-    bp = 1.0 if out_words > ref_words else math.exp(1 - ref_words / max(out_words, 1))
-    return bp * math.exp(sum(math.log(x) for x in smooth) / len(smooth))
+    smoothed = bp * F.exp(sum((F.log(x) for x in smooth), F.lit(0.0)) / 4)
+    return j.select("tag", *[F.round(prec[n], 9).alias(f"p{n}") for n in range(1, 5)], F.round(bp, 9).alias("brevity"), F.round(bp * F.exp(logs), 9).alias("bleu"), F.round(smoothed, 9).alias("smoothed"))
 
 
-_GRAMS = lambda side, name: "(" + " union all ".join(f"select id, lv, {n} as n, g, count(*) as {name} from (select id, lv, unnest({K.q_ngrams(side, n)}) as g from w) group by all" for n in range(1, 5)) + ")"
+_ALIGN = f"{_TRIPLE}, sx as (select tag, id, lv, unnest(range(len(l)))::int as pos, unnest(l) as s from (select tag, id, lv, {K.q_sentences('rew')} as l from j))"
+_ALIGNED = lambda name, col: f"""{name}0 as (select tag, id, lv, unnest(range(len(l)))::int as match, unnest(l) as t from (select tag, id, lv, {K.q_sentences(col)} as l from j)),
+{name}1 as (select tag, id, lv, pos, match, t, list_distinct({K.q_lower_tokens('s')}) as a, list_distinct({K.q_lower_tokens('t')}) as b from sx join {name}0 using (tag, id, lv)),
+{name}2 as (select *, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) as jaccard from {name}1),
+{name} as (select tag, id, lv, pos, match, t, jaccard from (select *, row_number() over (partition by tag, id, lv, pos order by jaccard desc, match) as k from {name}2 where jaccard > 0) where k = 1)"""
+_SARI_DOC = f"""{_ALIGN}, {_ALIGNED('al', 'src')}, {_ALIGNED('ar', 'ref')},
+w as (select sx.tag, sx.id, sx.lv, {K.q_words('sx.s')} as o, {K.q_words('coalesce(ar.t, j.ref)')} as r, {K.q_words('coalesce(al.t, j.src)')} as s from sx join j using (tag, id, lv) left join al using (tag, id, lv, pos) left join ar using (tag, id, lv, pos)),
+{_SARI_GRAMS}, sc as (select tag, id, lv, avg({_SARI}) as sari from g group by all), sd as (select j.tag, j.id, j.lv, round(coalesce(sari, 0), 9) as sari from j left join sc using (tag, id, lv))"""
+_GRAMS = lambda side, name: "(" + " union all ".join(f"select tag, id, lv, {n} as n, g, count(*) as {name} from (select tag, id, lv, unnest({K.q_ngrams(side, n)}) as g from w) group by all" for n in range(1, 6)) + ")"
 
-QUERIES = {f.__name__: f for f in (terms_in_text, contains_term_edges, related_edges, dense_topk, graph_score, hybrid_topk, term_context, rag_context, sentence_align, sari_doc, corpus_bleu)}
+QUERIES = {f.__name__: f for f in (terms_in_text, contains_term_edges, related_edges, dense_topk, graph_score, hybrid_topk, term_context, rag_context, sentence_align, sari_doc, sari_systems, corpus_bleu)}
 
 SQL = {
     "terms_in_text": f"with {_P} select id, array_to_string(list_filter(terms, lambda t: contains(lower(coalesce(text, '')), t)), '|') as present from p, ta",
@@ -181,13 +182,15 @@ SQL = {
 b as (select q, id, row_number() over (partition by q order by round(graph, 9) desc, id) as k from g), l as (select b.q, string_agg('> ' || replace(substr(coalesce(pt.text, ''), 1, 280), chr(10), ' '), chr(10) || chr(10) order by k) as shown from b join pt using (id) where k <= 2 group by 1),
 c as (select gq.id, shown, {_CONTEXT} as tc from gq left join l on l.q = gq.id, ta, td)
 select id, concat_ws(chr(10) || chr(10), case when tc <> '' then 'Terms:' || chr(10) || tc end, case when shown is not null then 'Passages:' || chr(10) || chr(10) || shown end) as context from c""",
-    "sentence_align": f"""with {_TRIPLE}, x as (select id, lv, {K.q_sentences('rew')} as l, {K.q_sentences('src')} as r from j),
-a as (select id, lv, unnest(range(len(l)))::int as pos, unnest(l) as s, r from x), b as (select id, lv, pos, list_distinct({K.q_lower_tokens('s')}) as a, unnest(range(len(r)))::int as match, unnest(r) as t from a),
-c as (select id, lv, pos, match, a, list_distinct({K.q_lower_tokens('t')}) as b from b), e as (select id, lv, pos, match, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) as jaccard from c)
-select id, lv, pos, match, round(jaccard, 9) as jaccard from (select *, row_number() over (partition by id, lv, pos order by jaccard desc, match) as k from e where jaccard > 0) where k = 1""",
-    "corpus_bleu": f"""with {_TRIPLE}, w as (select id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r from j), go as {_GRAMS('o', 'co')}, gr as {_GRAMS('r', 'cr')},
-c as (select n, sum(least(co, coalesce(cr, 0)))::double / sum(co) as p from go left join gr using (id, lv, n, g) group by n),
-v as (select max(p) filter (n = 1) as p1, max(p) filter (n = 2) as p2, max(p) filter (n = 3) as p3, max(p) filter (n = 4) as p4 from c), z as (select sum(len(o))::double as o, sum(len(r))::double as r from w),
-y as (select *, case when o > r then 1::double else exp(1 - r / o) end as bp from v, z)
-select round(p1, 9) as p1, round(p2, 9) as p2, round(p3, 9) as p3, round(p4, 9) as p4, round(bp, 9) as brevity, round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 9) as bleu from y""",
+    "sentence_align": f"with {_ALIGN}, {_ALIGNED('al', 'src')} select tag, id, lv, pos, match, round(jaccard, 9) as jaccard from al",
+    "sari_doc": f"with {_SARI_DOC} select * from sd",
+    "sari_systems": f"with {_SARI_DOC} select tag, lv, count(*) as n, round(avg(sari), 9) as sari from sd group by all",
+    "corpus_bleu": f"""with {_TRIPLE}, w as (select tag, id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r from j), go as {_GRAMS('o', 'co')}, gr as {_GRAMS('r', 'cr')},
+c as (select tag, n, sum(least(co, coalesce(cr, 0)))::double as m, sum(co)::double as t from go left join gr using (tag, id, lv, n, g) group by tag, n), z as (select tag, sum(len(o))::double as o, sum(len(r))::double as r from w group by tag),
+e as (select c.*, o, r, m / t as p, sum((m = 0)::int) over (partition by tag order by n) as inc from c join z using (tag)),
+f as (select *, case when m = 0 then 5.0::double / (pow(2, inc) * greatest(t, 1)) / ln(greatest(o, 2)) else p end as q from e),
+v as (select tag, any_value(o) as o, any_value(r) as r, {', '.join(f'max(p) filter (n = {n}) as p{n}, max(q) filter (n = {n}) as q{n}' for n in range(1, 6))} from f group by tag),
+y as (select *, case when o > r then 1::double else exp(1 - r / o) end as bp, (2 * q1 + 1 + q2) / 3 as s1 from v), y2 as (select *, (s1 + q2 + q3) / 3 as s2 from y), y3 as (select *, (s2 + q3 + q4) / 3 as s3 from y2), y4 as (select *, (s3 + q4 + q5) / 3 as s4 from y3)
+select tag, round(p1, 9) as p1, round(p2, 9) as p2, round(p3, 9) as p3, round(p4, 9) as p4, round(bp, 9) as brevity, case when least(p1, p2, p3, p4) > 0 then round(bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 9) end as bleu,
+round(bp * exp((ln(s1) + ln(s2) + ln(s3) + ln(s4)) / 4), 9) as smoothed from y4""",
 }

@@ -196,17 +196,18 @@ def gate_feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sari_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """Simplification score of the rewrites of one system against those of another as reference."""
-    a, b = (K.scored(spark, d, *c).where(F.col("tag") == t) for t, c in (("base", ("src", "rew")), ("tuned", ("rew",))))
-    j = a.where("src is not null and rew is not null").join(b.where("rew is not null").select("id", "lv", F.col("rew").alias("ref")), ["id", "lv"])
-    j = j.select("id", "lv", T.words("rew").alias("o"), T.words("ref").alias("r"), T.words("src").alias("s"))
-    return j.select("id", "lv", F.round(R.simplification(F.col("o"), F.col("r"), F.col("s")), 9).alias("sari"))
+    """Simplification score of the rewrites of each system against those of the reference system."""
+    from lexloom.plans.retrieve import _triples
 
+    j = _triples(spark, d).select("tag", "id", "lv", T.words("rew").alias("o"), T.words("ref").alias("r"), T.words("src").alias("s"))
+    return j.select("tag", "id", "lv", F.round(R.simplification(F.col("o"), F.col("r"), F.col("s")), 9).alias("sari"))
 
-_TRIPLE = f"{K.Q_SCORED}, j as (select a.id, a.lv, a.src, a.rew, b.rew as ref from s a join s b on a.id = b.id and a.lv = b.lv and a.tag = 'base' and b.tag = 'tuned' where a.src is not null and a.rew is not null and b.rew is not null)"
 
+_TRIPLE = f"{K.Q_SCORED}, j as (select a.tag, a.id, a.lv, a.src, a.rew, b.rew as ref from s a join s b on a.id = b.id and a.lv = b.lv and a.tag <> '{C.REFERENCE}' and b.tag = '{C.REFERENCE}' where a.src is not null and a.rew is not null and b.rew is not null)"
 
-def _q_sari() -> str:
+
+def _q_sari() -> tuple[str, str]:
+    """(n-grams g of word lists o, r and s of w; the score from them)."""
     cols, parts = [], []
     for n in range(1, 5):
         for x in "ors":
@@ -215,9 +216,10 @@ def _q_sari() -> str:
         o, r, s = f"o{n}", f"r{n}", f"s{n}"
         minus = lambda a, b: f"list_filter({a}, lambda g: not list_contains({b}, g))"
         parts += [K.q_set_f1(minus(o, s), minus(r, s)), K.q_set_f1(f"list_intersect({o}, {s})", f"list_intersect({r}, {s})"), K.q_set_f1(minus(s, o), minus(s, r))]
-    return f"with {_TRIPLE}, w as (select id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r, {K.q_words('src')} as s from j), g as (select id, lv, {', '.join(cols)} from w) select id, lv, round(({' + '.join(parts)}) / 12, 9) as sari from g"
+    return f"g as (select tag, id, lv, {', '.join(cols)} from w)", f"({' + '.join(parts)}) / 12"
 
 
+_SARI_GRAMS, _SARI = _q_sari()
 _S = f"with {K.Q_SCORED}"
 _COPY = f"""with {K.Q_SCORED}, w as (select tag, id, lv, {K.q_lower_tokens('rew')} as r, {K.q_lower_tokens('src')} as s from s),
 g as (select tag, id, lv, len(r) as nr, len(s) as ns, list_distinct({K.q_ngrams('r', 3)}) as a, list_distinct({K.q_ngrams('s', 3)}) as b from w)"""
@@ -271,5 +273,5 @@ select tag, id, lv, coalesce(round(0.39::double * w / n + 11.8::double * syl / w
     "total_reward": f"""{_COPY}, {K.Q_TERMS}, c as (select tag, id, lv, {_COPY_VALUE} as r_copy from g)
 select s.tag, s.id, s.lv, round(0.15::double * {_FMT_VALUE} + 0.20::double * {_DIFF_VALUE.replace("case lv ", "case s.lv ")} + 0.15::double * {_TERM_VALUE} + 0.25::double * r_copy + 0.25::double * coalesce({_NLI('entail', 0)}, 0), 9) as total from s join c on s.tag = c.tag and s.id = c.id and s.lv = c.lv, ta""",
     "gate_feedback": f"with {K.Q_SCORED}, {K.Q_TERMS}, m as (select tag, id, lv, parts, fre, {_MISSING} as missing from s, ta), n as (select tag, id, lv, {_NOTES} as notes from m) select tag, id, lv, notes, notes = '' as passed from n",
-    "sari_sentence": _q_sari(),
+    "sari_sentence": f"with {_TRIPLE}, w as (select tag, id, lv, {K.q_words('rew')} as o, {K.q_words('ref')} as r, {K.q_words('src')} as s from j), {_SARI_GRAMS} select tag, id, lv, round({_SARI}, 9) as sari from g",
 }

@@ -96,3 +96,34 @@ def test_dense_topk_brute_force(spark):
         if q % 10 == 0 and v:
             want = sorted(((-sum(a * b for a, b in zip(v, w)), k) for k, w in vec if w and k != q))[:5]
             assert [k for _, k in sorted(got[q])] == [k for _, k in want]
+
+
+def test_ngram_matches_brute_force(spark):
+    """Clipped matches within a row; null and short arrays have none; groups may be null."""
+    import random
+    from collections import Counter
+
+    from lexloom.operators.retrieval import ngram_matches
+
+    rng = random.Random(6)
+    text = lambda: rng.choice([None, [], ["x"], [rng.choice("abc") for _ in range(rng.randint(1, 12))]])
+    rows = [(rng.choice(["u", "v", None]), text(), text()) for _ in range(80)]
+    want: Counter = Counter()
+    for g, o, r in rows:
+        for n in range(1, 4):
+            a, b = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (o or [], r or []))
+            want[g, n, "m"] += sum((a & b).values())
+            want[g, n, "t"] += sum(a.values())
+    got = ngram_matches(spark.createDataFrame(rows, "g string, o array<string>, r array<string>"), "g", "o", "r", 3).collect()
+    assert {(x.g, x.n, k): v for x in got for k, v in (("m", x.matched), ("t", x.total))} == dict(want)
+
+
+def test_overtaken_deliveries(spark, data, monkeypatch):
+    """Both ways of dropping redeliveries keep the same rows."""
+    from lexloom.plans import kit
+
+    monkeypatch.setattr(kit, "_parts", lambda _: 99)
+    keep = sorted(tuple(r) for r in kit.scored(spark, data, "row_id", "nli").select("row_id", "tag").collect())
+    monkeypatch.setattr(kit, "OVERTAKEN", -1)
+    assert keep == sorted(tuple(r) for r in kit.scored(spark, data, "row_id", "nli").select("row_id", "tag").collect())
+    assert keep == sorted(tuple(r) for r in kit.scored(spark, data, "row_id").select("row_id", "tag").collect())

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import reliability as L
 from lexloom.operators import tests_stat as S
-from lexloom.plans.retrieve import smoothed_bleu
 
 
 def test_kruskal_wallis(spark):
@@ -153,11 +152,6 @@ def test_partial_correlation_closed_form(spark):
     assert S.partial_spearman(spark.createDataFrame(rows[:3], "x double, y double, c double"), "x", "y", ["c"])[1:] == (None, None)
 
 
-def test_smoothed_bleu():
-    assert 0 < smoothed_bleu([5, 0, 0, 0], [10, 9, 8, 7], 10, 10) < 1
-    assert smoothed_bleu([10, 9, 8, 7], [10, 9, 8, 7], 10, 10) >= 1
-
-
 @pytest.mark.parametrize("name", ["cluster_bootstrap", "icc_bootstrap", "gap_bootstrap"])
 def test_bootstraps_draw_all_resamples(spark, data, name):
     from lexloom import config as C

@@ -88,6 +88,12 @@ def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) ->
     return sure.unionByName(rest).drop("_h")
 
 
+def n_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """`n` rows of a table with unique keys, the least by MD5 of seed and key; each task sends at most `n` rows."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.where(F.col(key).isNotNull()).orderBy(h, key).limit(n)
+
+
 def capped(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group (the operator's purpose is the cap)."""
     w = Window.partitionBy(*by).orderBy(*order)

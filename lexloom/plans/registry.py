@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("texts", "relations", "retrieve", "reports", "statistics", "reliable", "events", "extras")
+MODULES = ("texts", "relations", "retrieve", "reports", "statistics", "reliable", "events", "extras", "variants")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -171,7 +171,9 @@ def p_values(spark: SparkSession, d: str) -> DataFrame:
 
 _T = f"{K.Q_SCORED}, t as (select tag, id, lv, tot from s where tot is not null)"
 q_rank = lambda v, by: f"(rank() over ({f'partition by {by} ' if by else ''}order by {v}) + (count(*) over (partition by {f'{by}, ' if by else ''}{v}) - 1) / 2.0::double)"
-_KW = f"{_T}, rk as (select lv, tag, {q_rank('tot', 'lv')} as r from t), gr as (select lv, tag, count(*) as n_g, sum(r) as r_g from rk group by all), ti as (select lv, sum(c)::double as n, sum(c::double * c * c - c) as ties from (select lv, tot, count(*) as c from t group by all) group by lv)"
+_RANKED = lambda src: f"rk as (select lv, tag, {q_rank('tot', 'lv')} as r from {src}), gr as (select lv, tag, count(*) as n_g, sum(r) as r_g from rk group by all), ti as (select lv, sum(c)::double as n, sum(c::double * c * c - c) as ties from (select lv, tot, count(*) as c from {src} group by all) group by lv)"
+_KW = f"{_T}, {_RANKED('t')}"
+_KW_OF = lambda head, src: f"{"" if head.startswith("with") else "with "}{head}, {_RANKED(src)}, h as (select lv, count(*) as k, sum(r_g * r_g / n_g) as s from gr group by lv), z as (select lv, n, k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - ties / (n * n * n - n), 0) as h from h join ti using (lv)) select lv, n::bigint as n, k, round(h, 9) as h, round(h / (n - 1), 9) as epsilon2 from z where k > 1"
 _GAP = f"{_T}, g as (select a.tag, a.id, a.lv, round(a.tot - b.tot, 9) as gap from t a join t b on a.id = b.id and a.lv = b.lv and b.tag = 'base' where a.tag <> 'base')"
 _signed = lambda by, src: f"lv_ as (select {by}, gap, {q_rank('abs(gap)', by)} as r from {src} where gap <> 0), sr as (select {by}, count(*) as n, coalesce(sum(r) filter (gap > 0), 0)::double as w_plus, coalesce(sum(r) filter (gap < 0), 0)::double as w_minus from lv_ group by all), tt as (select {by}, count(*) as n_pairs, count(*) filter (gap = 0) as n_zero from {src} group by all)"
 _LONG = f"{REL.Q_SHEETS}, {REL.Q_LONG}"
@@ -189,7 +191,7 @@ QUERIES = {f.__name__: f for f in (
 
 SQL = {
     "avg_rank": f"select p_partkey, p_brand, {q_rank('p_size', 'p_brand')} as rank from part",
-    "kruskal_wallis": f"with {_KW}, h as (select lv, count(*) as k, sum(r_g * r_g / n_g) as s from gr group by lv), z as (select lv, n, k, (12 / (n * (n + 1)) * s - 3 * (n + 1)) / nullif(1 - ties / (n * n * n - n), 0) as h from h join ti using (lv)) select lv, n::bigint as n, k, round(h, 9) as h, round(h / (n - 1), 9) as epsilon2 from z where k > 1",
+    "kruskal_wallis": _KW_OF(_T, "t"),
     "anova_eta2": f"with {_T}, a as (select lv, tag, tot, avg(tot) over (partition by lv) as m, avg(tot) over (partition by lv, tag) as mg from t), z as (select lv, count(*) as n, count(distinct tag) as k, sum((mg - m) * (mg - m)) as b, sum((tot - mg) * (tot - mg)) as w from a group by lv) select lv, n, k, round((b / (k - 1)) / nullif(w / (n - k), 0), 9) as f, round(coalesce(b / nullif(b + w, 0), 0), 9) as eta2 from z where k > 1",
     "dunn_posthoc": f"with {_KW} select a.lv, a.tag as a, b.tag as b, round((a.r_g / a.n_g - b.r_g / b.n_g) / sqrt(n * (n + 1) / 12 * (1.0::double / a.n_g + 1.0::double / b.n_g)), 9) as z from gr a join gr b on a.lv = b.lv and a.tag < b.tag join ti on ti.lv = a.lv",
     "wilcoxon_signed_rank": f"with {_GAP}, {_signed('tag', 'g')} select tag, n_pairs, n_zero, coalesce(n, 0) as n, round(coalesce(w_plus, 0), 9) as w_plus, round(coalesce(w_minus, 0), 9) as w_minus, round(coalesce(least(w_plus, w_minus), 0), 9) as w from tt left join sr using (tag)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import schemas as S
@@ -89,13 +89,17 @@ def blinding_key(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_of_name(df: DataFrame, directories: list[str], path: str = "path") -> DataFrame:
-    """Of the files of one name those in the first of the directories that has it. `path` holds each row's file."""
+    """Of the files of one name those in the first of the directories that has it. `path` holds each row's file.
+
+    The names are settled on the list of files (a partial count in each task); the rows are only filtered.
+    """
     name = F.regexp_extract(path, "([^/]+)$", 1)
     rank = F.lit(len(directories))
     for i, d in reversed(list(enumerate(directories))):
         rank = F.when(F.col(path).contains(d.rstrip("/") + "/"), i).otherwise(rank)
     rows = df.withColumns({"_name": name, "_rank": rank})
-    return rows.withColumn("_best", F.min("_rank").over(Window.partitionBy("_name"))).where("_rank = _best").drop("_name", "_rank", "_best")
+    best = rows.groupBy("_name").agg(F.min("_rank").alias("_rank"))  # one row a file name
+    return rows.join(best, ["_name", "_rank"], "left_semi").drop("_name", "_rank")
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:

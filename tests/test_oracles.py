@@ -12,7 +12,8 @@ def test_same_as_sql(name, same):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(name, spark, data):
-    registry.QUERIES[name](spark, data).count()
+    """Every column is computed; what it holds is tested against plain Python in the other modules."""
+    registry.QUERIES[name](spark, data).write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from lexloom import schemas as S
 from lexloom.operators import scorers
 from lexloom.sources import readers, writers
@@ -90,3 +92,11 @@ def test_windows_batch_equals_stream(spark, data, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted((str(r.start), r.event_type, r.n) for r in df.collect())
     assert key(spark.table("win")) == key(live.tumbling(events))
+
+
+def test_reports_raise(spark, tmp_path):
+    """A report that is too large is an error, not cut."""
+    df = spark.range(5)
+    with pytest.raises(ValueError):
+        writers.markdown(df, most=4)
+    assert len(writers.markdown(df, most=5).splitlines()) == 7

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a folder of the warehouse where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints_{uuid.uuid4().hex[:8]}"
+from lexloom.operators.relational import cut
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

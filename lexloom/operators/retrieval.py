@@ -46,11 +46,14 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
                 for j in range(x.shape[1]):
                     sim += mat[:, j, None] * x[None, :, j]
                 sim[ids[:, None] == keys[None, :]] = -np.inf
-                top = np.lexsort((np.broadcast_to(keys, sim.shape), -sim), axis=1)[:, : k]
-                at = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
-                s = sim[at]
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at[0]][ok]), pa.array(keys[at[1]][ok]), pa.array(s[ok])], ["q", "key", "sim"])
+                # only what reaches the k-th best is sorted
+                least = -np.partition(-sim, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1]
+                r, c = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+                o = np.lexsort((keys[c], -sim[r, c], r))
+                r, c = r[o], c[o]
+                best = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c = r[best], c[best]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(keys[c]), pa.array(sim[r, c])], ["q", "key", "sim"])
 
         part = v.mapInArrow(scan, "q long, key long, sim double")
         parts = part if parts is None else parts.unionByName(part)
@@ -76,6 +79,26 @@ def graph_scores(query_edges: DataFrame, doc_edges: DataFrame, key: str) -> Data
     return j.groupBy("q", key).agg(F.count("*").alias("shared")).join(n, "q").select("q", key, (0.4 * F.col("shared") / F.greatest(F.lit(1), "n")).alias("graph"))
 
 
+def leading(df: DataFrame, by: str, key: str, k: int, parts: int = 64) -> DataFrame:
+    """The k rows of least key of each group; a group is first cut into parts, so that it may hold any share of the rows."""
+    part = F.row_number().over(Window.partitionBy(by, F.pmod(F.xxhash64(key), F.lit(parts))).orderBy(key))
+    whole = F.row_number().over(Window.partitionBy(by).orderBy(key))
+    return df.withColumn("_k", part).where(F.col("_k") <= k).withColumn("_k", whole).where(F.col("_k") <= k).drop("_k")
+
+
+def label_scores(queries: DataFrame, labels: DataFrame, dense: DataFrame, key: str, k: int) -> DataFrame:
+    """(q, key, graph): what `graph_scores` gives for graphs of one term a document, of the pairs that can be among the k best of a fusion.
+
+    All documents of a query's label score alike, so beside those in `dense` only the first k by key can be among the best;
+    the pairs grow with the queries, not with the label. `queries` and `labels` are (key, term), `dense` is (q, key, sim).
+    """
+    q = queries.where("term is not null").select(F.col(key).alias("q"), "term").distinct()
+    d = labels.where("term is not null").select(key, "term").distinct()
+    first = q.join(leading(d, "term", key, k + 1), "term").where(F.col("q") != F.col(key)).select("q", key)
+    near = dense.select("q", key).join(q, "q").join(d, [key, "term"]).select("q", key)
+    return first.union(near).distinct().withColumn("graph", F.lit(0.4))
+
+
 def fused(dense: DataFrame, graph: DataFrame, key: str, k: int = 2) -> DataFrame:
     """(q, key, score, rank): the k best of 0.7 times the dense similarity plus the graph score, ties by key."""
     j = dense.select("q", key, "sim").join(graph.select("q", key, "graph"), ["q", key], "full")

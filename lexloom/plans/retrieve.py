@@ -69,7 +69,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     queries = e.where("vec_id % 50 = 0")
     dense = R.dense_topk(e, queries, "vec_id", "embedding", 8).select("q", F.col("key").alias("vec_id"), "sim")
     label = lambda x: x.select("vec_id", F.col("label").cast("string").alias("term"))
-    graph = R.graph_scores(label(queries), label(e), "vec_id")
+    graph = R.label_scores(label(queries), label(e), dense, "vec_id", 2)
     return R.fused(dense, graph, "vec_id", 2).select("q", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 

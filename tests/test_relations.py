@@ -127,3 +127,19 @@ def test_overtaken_deliveries(spark, data, monkeypatch):
     monkeypatch.setattr(kit, "OVERTAKEN", -1)
     assert keep == sorted(tuple(r) for r in kit.scored(spark, data, "row_id", "nli").select("row_id", "tag").collect())
     assert keep == sorted(tuple(r) for r in kit.scored(spark, data, "row_id").select("row_id", "tag").collect())
+
+
+def test_label_scores_keep_the_best(spark):
+    """The fusion over few pairs is that over all pairs of a label, ties and null labels included."""
+    import random
+
+    from lexloom.operators import retrieval as R
+
+    rng = random.Random(9)
+    labels = spark.createDataFrame([(i, rng.choice(["a", "a", "b", None])) for i in range(60)], "k long, term string")
+    dense = spark.createDataFrame([(q, k, rng.choice([0.1, 0.2, -0.9, 0.6])) for q in range(0, 60, 7) for k in rng.sample(range(60), 8) if k != q], "q long, k long, sim double")
+    queries = labels.where("k % 7 = 0")
+    for k in (1, 3):
+        rows = [sorted((r.q, r.k, r.rank, round(r.score, 9)) for r in R.fused(dense, g, "k", k).collect()) for g in (R.graph_scores(queries, labels, "k"), R.label_scores(queries, labels, dense, "k", k))]
+        assert rows[0] == rows[1] and rows[0]
+    assert R.leading(labels, "term", "k", 2, 4).where("term = 'a'").count() == 2

@@ -68,11 +68,16 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.coalesce(f1, F.lit(1.0))
 
 
-def simplification(out: Column, ref: Column, src: Column) -> Column:
-    """Mean over n = 1..4 of the F1 of n-grams added, kept and deleted (word arrays, cased)."""
+def with_ngrams(df: DataFrame, *sides: str) -> DataFrame:
+    """Adds the distinct n-grams 1..4 of the word arrays `sides` as columns of their own, so that each is computed once a row."""
+    return df.withColumns({f"{x}{n}": F.array_distinct(T.ngrams(F.col(x), n)) for x in sides for n in range(1, 5)})
+
+
+def simplification(out: str, ref: str, src: str) -> Column:
+    """Mean over n = 1..4 of the F1 of n-grams added, kept and deleted (cased), from the columns of `with_ngrams`."""
     total = F.lit(0.0)
     for n in range(1, 5):
-        o, r, s = (F.array_distinct(T.ngrams(x, n)) for x in (out, ref, src))
+        o, r, s = (F.col(f"{x}{n}") for x in (out, ref, src))
         total = total + set_f1(F.array_except(o, s), F.array_except(r, s))
         total = total + set_f1(F.array_intersect(o, s), F.array_intersect(r, s))
         total = total + set_f1(F.array_except(s, o), F.array_except(s, r))

@@ -113,17 +113,21 @@ def term_context(terms: Column, definitions: Column, most: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(terms, 1, most), line), "\n")
 
 
-def aligned_sentences(left: Column, right: Column) -> Column:
-    """For each sentence of `left` (an array) the first sentence of `right` of greatest word Jaccard: structs (match, jaccard), null if all are 0.
+def token_sets(sentences: Column) -> Column:
+    """The distinct lower-case words of each sentence of an array."""
+    from lexloom.functions import text as T
+
+    return F.transform(sentences, lambda x: F.array_distinct(T.lower_tokens(x)))
+
+
+def best_match(own: Column, others: Column) -> Column:
+    """(match, jaccard) of the first of the word sets `others` of greatest Jaccard similarity with the word set `own`; null if all are 0.
 
     Works within the row: only its own sentences meet and nothing is shuffled.
     """
-    from lexloom.functions import text as T
-
-    sets = lambda c: F.transform(c, lambda x: F.array_distinct(T.lower_tokens(x)))
-    jaccard = lambda x, y: F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
-    best = lambda x: F.array_max(F.transform(sets(right), lambda y, i: F.struct(jaccard(x, y).alias("jaccard"), (-i).alias("m"))))
-    return F.transform(F.transform(sets(left), best), lambda b: F.when(b["jaccard"] > 0, F.struct((-b["m"]).alias("match"), b["jaccard"].alias("jaccard"))))
+    jaccard = lambda y: F.coalesce(F.try_divide(F.size(F.array_intersect(own, y)).cast("double"), F.size(F.array_union(own, y))), F.lit(0.0))
+    best = F.array_max(F.transform(others, lambda y, i: F.struct(jaccard(y).alias("jaccard"), (-i).alias("m"))))
+    return F.when(best["jaccard"] > 0, F.struct((-best["m"]).alias("match"), best["jaccard"].alias("jaccard")))
 
 
 def ngram_matches(df: DataFrame, by: str, out: str, ref: str, most: int = 5) -> DataFrame:

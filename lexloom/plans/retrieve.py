@@ -112,20 +112,25 @@ def _triples(spark: SparkSession, d: str) -> DataFrame:
 _KEY = ["tag", "id", "lv"]
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    """One row a sentence x (l, set) of each rewrite, at `pos` (null without sentences), beside the sentences s and r of source and
+    reference and their word sets, which are computed once a rewrite."""
+    t = _triples(spark, d).select(*_KEY, "src", "ref", T.sentences("rew").alias("l"), T.sentences("src").alias("s"), T.sentences("ref").alias("r"))
+    t = t.select(*_KEY, "src", "ref", F.arrays_zip("l", R.token_sets(F.col("l")).alias("set")).alias("z"), "s", "r", R.token_sets(F.col("s")).alias("ss"), R.token_sets(F.col("r")).alias("rs"))
+    return t.select("*", F.posexplode_outer("z").alias("pos", "x")).drop("z")
+
+
 def sentence_align(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d).select(*_KEY, T.sentences("rew").alias("l"), T.sentences("src").alias("r"))
-    a = t.select(*_KEY, F.posexplode(R.aligned_sentences(F.col("l"), F.col("r"))).alias("pos", "x")).where("x is not null")
+    a = _sentences(spark, d).select(*_KEY, "pos", R.best_match(F.col("x.set"), F.col("ss")).alias("x")).where("pos is not null and x is not null")
     return a.select(*_KEY, "pos", "x.match", F.round("x.jaccard", 9).alias("jaccard"))
 
 
 def sari_doc(spark: SparkSession, d: str) -> DataFrame:
     """Mean simplification score over the rewrite's sentences, each against its aligned sentences of source and reference (the whole where none aligns); 0 without sentences."""
-    t = _triples(spark, d).select(*_KEY, "src", "ref", T.sentences("rew").alias("l"), T.sentences("src").alias("s"), T.sentences("ref").alias("r"))
-    t = t.withColumn("x", F.arrays_zip("l", R.aligned_sentences(F.col("l"), F.col("s")).alias("ms"), R.aligned_sentences(F.col("l"), F.col("r")).alias("mr")))
-    out = t.select(*_KEY, "s", "r", "src", "ref", F.explode_outer("x").alias("x"))
-    pick = lambda arr, at, whole: F.coalesce(F.try_element_at(F.col(arr), F.col(f"x.{at}.match") + 1), F.col(whole))
-    out = out.select(*_KEY, F.col("x").isNotNull().alias("any"), T.words("x.l").alias("o"), T.words(pick("r", "mr", "ref")).alias("r"), T.words(pick("s", "ms", "src")).alias("s"))
-    score = F.avg(F.when(F.col("any"), RW.simplification(F.col("o"), F.col("r"), F.col("s"))))
+    pick = lambda arr, sets, whole: F.coalesce(F.try_element_at(F.col(arr), R.best_match(F.col("x.set"), F.col(sets))["match"] + 1), F.col(whole))
+    out = _sentences(spark, d).select(*_KEY, "pos", T.words("x.l").alias("o"), T.words(pick("r", "rs", "ref")).alias("r"), T.words(pick("s", "ss", "src")).alias("s"))
+    out = RW.with_ngrams(out, "o", "r", "s")
+    score = F.avg(F.when(F.col("pos").isNotNull(), RW.simplification("o", "r", "s")))
     return out.groupBy(*_KEY).agg(F.round(F.coalesce(score, F.lit(0.0)), 9).alias("sari"))
 
 

@@ -200,7 +200,7 @@ def sari_sentence(spark: SparkSession, d: str) -> DataFrame:
     from lexloom.plans.retrieve import _triples
 
     j = _triples(spark, d).select("tag", "id", "lv", T.words("rew").alias("o"), T.words("ref").alias("r"), T.words("src").alias("s"))
-    return j.select("tag", "id", "lv", F.round(R.simplification(F.col("o"), F.col("r"), F.col("s")), 9).alias("sari"))
+    return R.with_ngrams(j, "o", "r", "s").select("tag", "id", "lv", F.round(R.simplification("o", "r", "s"), 9).alias("sari"))
 
 
 _TRIPLE = f"{K.Q_SCORED}, j as (select a.tag, a.id, a.lv, a.src, a.rew, b.rew as ref from s a join s b on a.id = b.id and a.lv = b.lv and a.tag <> '{C.REFERENCE}' and b.tag = '{C.REFERENCE}' where a.src is not null and a.rew is not null and b.rew is not null)"

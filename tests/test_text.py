@@ -50,10 +50,8 @@ def test_format_score(spark):
 
 
 def test_simplification_bounds(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(["a", "b", "c"], ["a", "b", "c"], ["a", "b", "c"]), (["a"], ["b"], ["c"])], "o array<string>, r array<string>, s array<string>")
-    x = [r.x for r in df.select(R.simplification(F.col("o"), F.col("r"), F.col("s")).alias("x")).collect()]
+    x = [r.x for r in R.with_ngrams(df, "o", "r", "s").select(R.simplification("o", "r", "s").alias("x")).collect()]
     assert x[0] == pytest.approx(1.0)
     assert 0 <= x[1] <= 1
 

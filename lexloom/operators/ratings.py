@@ -21,14 +21,15 @@ def unblinded(sheet: DataFrame, key: DataFrame) -> DataFrame:
     """Sheets with the system behind each label.
 
     A rater who has no key for an item at all takes that of the item's first rater who has one; a label that
-    stays unknown is left out.
+    stays unknown is left out. The key grows with the sheets and its file packs to a fraction of its size in memory,
+    so its joins are merged: by the file's size they would be broadcast through the driver.
     """
     k = key.select("rater", "item_id", F.upper(F.trim("label")).alias("label"), "system").where("system is not null").groupBy("rater", "item_id", "label").agg(F.min("system").alias("own"))
     has = k.select("rater", "item_id").distinct().withColumn("has", F.lit(True))
     first = k.groupBy("item_id", "label").agg(F.min_by("own", "rater").alias("other"), F.min("rater").alias("r"))
     least = k.groupBy("item_id").agg(F.min("rater").alias("r"))
-    other = first.join(least, ["item_id", "r"]).drop("r")
-    j = sheet.join(k, ["rater", "item_id", "label"], "left").join(has, ["rater", "item_id"], "left").join(other, ["item_id", "label"], "left")
+    other = first.join(least.hint("merge"), ["item_id", "r"]).drop("r")
+    j = sheet.join(k.hint("merge"), ["rater", "item_id", "label"], "left").join(has.hint("merge"), ["rater", "item_id"], "left").join(other.hint("merge"), ["item_id", "label"], "left")
     system = F.coalesce("own", F.when(F.col("has").isNull(), F.col("other")))
     return j.withColumn("system", system).where("system is not null").drop("own", "has", "other")
 
@@ -44,4 +45,4 @@ def beside(scores: DataFrame, least: int = 3) -> DataFrame:
     number and the mean of the cell's other scores. All raters of a cell count."""
     cell = ["item_id", "system", "dim"]
     sums = scores.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("score").alias("_s")).where(F.col("n") >= least)
-    return scores.join(sums, cell).select(*cell, "rater", "score", "n", F.round((F.col("_s") - F.col("score")) / (F.col("n") - 1), 9).alias("others"))
+    return scores.join(sums.hint("merge"), cell).select(*cell, "rater", "score", "n", F.round((F.col("_s") - F.col("score")) / (F.col("n") - 1), 9).alias("others"))

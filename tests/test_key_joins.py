@@ -11,7 +11,7 @@ from lexloom.operators import ranks
 from lexloom.plans import registry
 from lexloom.plans import relations as REL
 
-NAMES = ["system_rank", "three_lens_join"]
+NAMES = ["system_rank", "three_lens_join", "cohen_kappa"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -118,6 +118,7 @@ def calibration(df: DataFrame, by: list[str], confidence: str, correct: str, bin
 #: Cumulative probabilities of a Poisson count of mean 1, in 65,536ths: a draw is the number of them that a 16-bit number reaches.
 POISSON = [int(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
 BLOCK = 200  # resamples that one task works on
+HELD = 2048  # distinct values whose draws a task holds
 
 
 def times(keys: list[str], seed: int, first: int, rounds: int) -> np.ndarray:
@@ -159,59 +160,98 @@ def _ranks(values: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(n, 0) - n + (n + 1) / 2)[inv], n
 
 
-def _in_blocks(df: DataFrame, rounds: int) -> DataFrame:
-    """Each row once for each block of resamples."""
-    return df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // BLOCK) - 1))))
+def _drawn(df: DataFrame, values: dict[str, str], rounds: int, seed: int) -> DataFrame:
+    """(block, values, w): how often each distinct row of `values` (name: type) is drawn in the resamples of a block, as partial sums.
+
+    `df` has a cluster `k`, the values and their count `c`. A task adds up its clusters' draws by value, so that what leaves it
+    follows the number of distinct values and not that of the rows; beyond HELD of them it hands on what it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+        total = np.zeros((HELD, rounds), np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            columns = list(zip(*held)) or [()] * len(values)
+            for block, first in enumerate(range(0, rounds, BLOCK)):
+                w = [np.ascontiguousarray(t[first : first + BLOCK]).tobytes() for t in total[: len(held)]]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(held), pa.int32()), *[pa.array(x, pa.string() if kind == "string" else pa.float64()) for x, kind in zip(columns, values.values())], pa.array(w, pa.binary())], ["block", *values, "w"])
+
+        for batch in batches:
+            keys = batch.column("k").to_pylist()
+            rows = list(zip(*[batch.column(v).to_pylist() for v in values]))
+            count = batch.column("c").to_numpy()
+            for lo in range(0, len(keys), 1000):
+                if len(held) + len(set(rows[lo : lo + 1000])) > HELD:
+                    yield from out()
+                    held.clear()
+                    total[:] = 0
+                own, at = np.unique(np.array(keys[lo : lo + 1000], str), return_inverse=True)
+                ids = np.array([held.setdefault(r, len(held)) for r in rows[lo : lo + 1000]])
+                order = np.argsort(ids, kind="stable")
+                seen, starts = np.unique(ids[order], return_index=True)
+                t = times(list(own), seed, 0, rounds)[at[order]] * count[lo : lo + 1000][order][:, None]
+                total[seen] += np.add.reduceat(t, starts, 0)
+        yield from out()
+
+    near = df.repartition("k").sortWithinPartitions("k")  # a cluster's draws are made once
+    return near.mapInArrow(run, f"block int, {', '.join(f'{n} {kind}' for n, kind in values.items())}, w binary")
+
+
+def _summed(g: pd.DataFrame, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, their draws in each resample) of the partial sums of a block."""
+    own, at = np.unique(g[values].to_numpy(float), axis=0, return_inverse=True)
+    w = np.zeros((len(own), len(g["w"].iloc[0]) // 8))
+    for i, b in zip(at.ravel(), g["w"]):
+        w[i] += np.frombuffer(b, np.int64)
+    return own, w
 
 
 def bootstrap_spearman(df: DataFrame, key: str, x: str, y: str, rounds: int, seed: int, least: int = 5) -> DataFrame:
     """(b, n, rho): the rank correlation of x and y in each resample of the clusters of `key`, with ranks anew in each.
 
-    The rows are first counted by cluster and value pair. A task takes BLOCK resamples over all counted rows, so their number
-    should stay within some millions; rows are never repeated.
+    The draws are first added up by value pair. A task takes BLOCK resamples over all distinct value pairs, so that its memory
+    follows their number (means of a few ratings have few), however many rows there are; rows are never repeated.
     """
     v = df.where(F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     v = v.groupBy(F.col(key).cast("string").alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("c"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         first = int(g["block"].iloc[0]) * BLOCK
-        size = min(BLOCK, rounds - first)
-        keys, at = np.unique(g["k"].to_numpy(str), return_inverse=True)
-        w = times(list(keys), seed, first, size)[at].astype(float) * g["c"].to_numpy()[:, None]
+        own, w = _summed(g, ["x", "y"])
         n = w.sum(0)
-        (rx, _), (ry, _) = _ranks(g["x"].to_numpy(), w), _ranks(g["y"].to_numpy(), w)
+        (rx, _), (ry, _) = _ranks(own[:, 0], w), _ranks(own[:, 1], w)
         with np.errstate(invalid="ignore", divide="ignore"):
             rx, ry = rx - (w * rx).sum(0) / n, ry - (w * ry).sum(0) / n
             rho = (w * rx * ry).sum(0) / np.sqrt((w * rx * rx).sum(0) * (w * ry * ry).sum(0))
         rho = np.where((n >= least) & np.isfinite(rho), rho, np.nan)
-        return pd.DataFrame({"b": np.arange(first, first + size), "n": n.astype(np.int64), "rho": [None if np.isnan(r) else r for r in rho]})
+        return pd.DataFrame({"b": np.arange(first, first + w.shape[1]), "n": n.astype(np.int64), "rho": [None if np.isnan(r) else r for r in rho]})
 
-    return _in_blocks(v, rounds).groupBy("block").applyInPandas(run, "b int, n long, rho double")
+    return _drawn(v, {"x": "double", "y": "double"}, rounds, seed).groupBy("block").applyInPandas(run, "b int, n long, rho double")
 
 
 def bootstrap_signed_rank(df: DataFrame, by: str, key: str, diff: str, rounds: int, seed: int) -> DataFrame:
-    """(by, b) and the columns of `signed_rank`, in each resample of the clusters of `key`; bounds as in `bootstrap_spearman`."""
-    v = df.where(F.col(key).isNotNull() & F.col(diff).isNotNull()).groupBy(by, F.col(key).cast("string").alias("k"), F.col(diff).cast("double").alias("d")).agg(F.count("*").alias("c"))
+    """(by, b) and the columns of `signed_rank`, in each resample of the clusters of `key`; memory as in `bootstrap_spearman`."""
+    v = df.where(F.col(key).isNotNull() & F.col(diff).isNotNull()).groupBy(F.col(by).cast("string").alias(by), F.col(key).cast("string").alias("k"), F.col(diff).cast("double").alias("d")).agg(F.count("*").alias("c"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         first = int(g["block"].iloc[0]) * BLOCK
-        size = min(BLOCK, rounds - first)
-        keys, at = np.unique(g["k"].to_numpy(str), return_inverse=True)
-        w = times(list(keys), seed, first, size)[at].astype(float) * g["c"].to_numpy()[:, None]
-        d = g["d"].to_numpy()
+        own, w = _summed(g, ["d"])
+        d = own[:, 0]
         live = d != 0
         zero = w[~live].sum(0)
-        plus = minus = ties = np.zeros(size)
+        plus = minus = ties = np.zeros(w.shape[1])
         if live.any():
             r, n = _ranks(np.abs(d[live]), w[live])
             plus, minus = (w[live] * r * (d[live] > 0)[:, None]).sum(0), (w[live] * r * (d[live] < 0)[:, None]).sum(0)
             ties = (n**3 - n).sum(0)
         all_ = w.sum(0)
-        out = pd.DataFrame({"b": np.arange(first, first + size), "n_pairs": all_.astype(np.int64), "n_zero": zero.astype(np.int64), "n": (all_ - zero).astype(np.int64), "w_plus": plus, "w_minus": minus, "w": np.minimum(plus, minus), "ties": ties})
+        out = pd.DataFrame({"b": np.arange(first, first + w.shape[1]), "n_pairs": all_.astype(np.int64), "n_zero": zero.astype(np.int64), "n": (all_ - zero).astype(np.int64), "w_plus": plus, "w_minus": minus, "w": np.minimum(plus, minus), "ties": ties})
         out.insert(0, by, g[by].iloc[0])
         return out[out.n_pairs > 0]
 
-    return _in_blocks(v, rounds).groupBy(by, "block").applyInPandas(run, f"{by} string, b int, n_pairs long, n_zero long, n long, w_plus double, w_minus double, w double, ties double")
+    drawn = _drawn(v, {by: "string", "d": "double"}, rounds, seed)
+    return drawn.groupBy(by, "block").applyInPandas(run, f"{by} string, b int, n_pairs long, n_zero long, n long, w_plus double, w_minus double, w double, ties double")
 
 
 def bootstrap_icc(beside: DataFrame, by: str, cell: list[str], key: str, rounds: int, seed: int) -> DataFrame:

@@ -161,3 +161,13 @@ def test_bootstraps_draw_all_resamples(spark, data, name):
     want = {"cluster_bootstrap": 2000, "icc_bootstrap": 2000, "gap_bootstrap": 800}[name]
     assert rows and all(0.9 * want < r.rounds <= want for r in rows), rows
     assert name != "icc_bootstrap" or {r.dim for r in rows} == set(C.DIMS)
+
+
+def test_bootstrap_sums_in_parts(spark, monkeypatch):
+    """What leaves a task follows the number of distinct values; handing on partial sums changes nothing."""
+    df = spark.range(3000).selectExpr("id % 900 as k", "double(id * 7 % 5) as x", "double(id * id % 4) as y")
+    counted = df.groupBy(F.col("k").cast("string").alias("k"), "x", "y").agg(F.count("*").alias("c")).coalesce(1)
+    assert L._drawn(counted, {"x": "double", "y": "double"}, 40, 1).count() <= 4 * 20
+    whole = sorted(tuple(r) for r in L.bootstrap_spearman(df, "k", "x", "y", 40, 1).collect())
+    monkeypatch.setattr(L, "HELD", 20)
+    assert whole == sorted(tuple(r) for r in L.bootstrap_spearman(df, "k", "x", "y", 40, 1).collect()) and len(whole) == 40

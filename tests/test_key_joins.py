@@ -11,7 +11,7 @@ from lexloom.operators import ranks
 from lexloom.plans import registry
 from lexloom.plans import relations as REL
 
-NAMES = ["system_rank", "three_lens_join", "cohen_kappa", "exact_agreement", "cluster_bootstrap", "gap_bootstrap", "any_rater", "mean_of_item_means", "decode_agreement"]
+NAMES = ["system_rank", "three_lens_join", "cohen_kappa", "exact_agreement", "cluster_bootstrap", "gap_bootstrap", "any_rater", "mean_of_item_means", "decode_agreement", "self_consistency"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -97,7 +97,7 @@ def friedman(df: DataFrame, block: str, group: str, value: str, k: int) -> DataF
     """One row (n, k, chi2): over the blocks that have all `k` groups, with the correction for ties within blocks."""
     v = df.where(F.col(value).isNotNull()).select(block, group, F.col(value).cast("double").alias("_v"))
     full = v.groupBy(block).agg(F.count_distinct(group).alias("c")).where(F.col("c") == k).select(block)
-    v = v.join(full, block, "left_semi")
+    v = v.join(full.hint("merge"), block, "left_semi")
     w = Window.partitionBy(block)
     r = v.withColumn("_t", F.count("*").over(Window.partitionBy(block, "_v"))).withColumn("_r", F.rank().over(w.orderBy("_v")) + (F.col("_t") - 1) / 2)
     sums = r.groupBy(group).agg(F.sum("_r").alias("s"), F.count("*").alias("n")).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").cast("double").alias("n"))

@@ -12,10 +12,12 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, plain_rows
     """Adds the rank of `value` within the groups of `by`, ties sharing the mean of their places; null values get null.
 
     Values are counted first, so that repeated ones are ranked once. Few counted rows take a window by group; many
-    are parted by range, and sums of the parts before shift the ranks, so that a group may hold any share of the rows.
+    are parted by range, and sums of the parts before shift the ranks, so that a group may hold any share of the rows;
+    they are joined by merging, as an estimate from file sizes could have them broadcast.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    if counts.count() <= plain_rows:
+    few = counts.count() <= plain_rows
+    if few:
         w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = counts.withColumn("__below", F.sum("__n").over(w) - F.col("__n"))
     else:
@@ -33,7 +35,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, plain_rows
     on = F.col(value) == F.col("__v")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(ranked, on, "left").drop("__v", *[f"__k{i}" for i in range(len(by))])
+    return df.join(ranked if few else ranked.hint("merge"), on, "left").drop("__v", *[f"__k{i}" for i in range(len(by))])
 
 
 def correlation(x: str, y: str) -> Column:

@@ -11,7 +11,7 @@ from lexloom.operators import ranks
 from lexloom.plans import registry
 from lexloom.plans import relations as REL
 
-NAMES = ["system_rank", "three_lens_join", "cohen_kappa", "exact_agreement", "cluster_bootstrap", "gap_bootstrap", "any_rater", "mean_of_item_means", "decode_agreement", "self_consistency", "friedman", "leave_one_out_rho", "score_agreement", "passage_collapse", "rater_matrix", "icc_bootstrap", "one_system_rho", "paired_gap", "rank_rho", "design_effect", "icc", "level_split_rho", "order_swap"]
+NAMES = ["system_rank", "three_lens_join", "cohen_kappa", "exact_agreement", "cluster_bootstrap", "gap_bootstrap", "any_rater", "mean_of_item_means", "decode_agreement", "self_consistency", "friedman", "leave_one_out_rho", "score_agreement", "passage_collapse", "rater_matrix", "icc_bootstrap", "one_system_rho", "paired_gap", "rank_rho", "design_effect", "icc", "level_split_rho", "order_swap", "partial_spearman"]
 
 
 @pytest.mark.parametrize("name", NAMES)
